@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,3 +46,17 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.Recor
 def word_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote, once what was made from it is written too."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of plans that nothing refers to any more, before the next large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()

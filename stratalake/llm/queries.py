@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_stream import add_stream, read_streams
 
@@ -59,6 +65,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .page_text import extract_pages
 
@@ -68,12 +80,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_media_columns": op3_media_columns,
         "op4_piece_encoding": op4_piece_encoding,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_lm_scoring": op7_lm_scoring,
         "op8_url_filters": op8_url_filters,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_html_extraction": op10_html_extraction,
     }
 

@@ -2,7 +2,7 @@
 
 Trees are grown on a bounded sample of vectors (`SAMPLE`) so that a leaf holds about `LEAF` rows of the whole table;
 every row is put into a leaf of each tree. A query opens leaves of all trees in the order of their margins until
-`SEARCH` rows are gathered. Rows and queries meet by leaf in Spark groups, where exact cosines in double precision rank
+enough rows are gathered. Rows and queries meet by leaf in Spark groups, where exact cosines in double precision rank
 them; the best of each leaf are merged and ranked again.
 
 Equal vectors are one class with its smallest ids, so a vector that many rows share fills no leaf and no group.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import batches, materialize
 
-SAMPLE, TREES, LEAF, SEARCH, K, EVERY = 20_000, 12, 128, 6_000, 5, 50
+SAMPLE, TREES, LEAF, LEAST, SHARE, K, EVERY = 20_000, 12, 128, 6_000, 0.7, 5, 50
 
 
 class Forest:
@@ -95,28 +95,30 @@ class Forest:
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     v = F.col(vector_column)
     sound = v.isNotNull() & F.col(id_column).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(sound).select(F.col(id_column).cast("long").alias("vec_id"), v.cast("array<double>").alias("vector"))
+    rows = vectors.where(sound).select(F.col(id_column).cast("long").alias("vec_id"), v.alias("vector"))
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.where(F.size("vector") == (size[0]["n"] if size else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, search: int = SEARCH, sample: int = SAMPLE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, least: int = LEAST, share: float = SHARE, sample: int = SAMPLE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found to each row whose id is divisible by `every`."""
     rows = usable(vectors, id_column, vector_column)
     same = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
     classes = materialize(few.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids")))  # at most k + 1 ids
+    kind = rows.schema["vector"].dataType.simpleString()
     asked = rows.where(F.col("vec_id") % every == 0)
     total = classes.count()
+    search = max(least, int(share * total))
     drawn = classes.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
     x = _unit(_matrix(drawn["vector"])) if drawn.num_rows else np.zeros((0, 1))
     forest = Forest(x, trees if len(x) else 0, max(4, round(leaf * len(x) / max(1, total))))
@@ -129,7 +131,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
             n, t = leaves.shape
             yield pa.RecordBatch.from_arrays([pa.array(leaves.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), t)), batch.column(1).take(pa.array(np.repeat(np.arange(n), t)))], names=["leaf", "rep", "vector"])
 
-    placed = materialize(classes.select("rep", "vector").mapInArrow(place, "leaf long, rep long, vector array<double>")) if total else spark.createDataFrame([], "leaf long, rep long, vector array<double>")
+    placed = materialize(classes.select("rep", "vector").mapInArrow(place, f"leaf long, rep long, vector {kind}")) if total else spark.createDataFrame([], f"leaf long, rep long, vector {kind}")
     sizes = np.zeros(forest.leaves + 1, np.int64)
     for row in placed.groupBy("leaf").count().collect():  # a row a leaf of the bounded forest
         sizes[row["leaf"]] = row["count"]
@@ -142,29 +144,34 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), lengths)), batch.column(1).take(pa.array(np.repeat(np.arange(len(found)), lengths)))], names=["leaf", "query", "vector"])
 
     wanted = classes.join(asked.select("vector").distinct(), "vector").select("rep", "vector")
-    probes = wanted.mapInArrow(probe, "leaf long, query long, vector array<double>") if total else spark.createDataFrame([], "leaf long, query long, vector array<double>")
+    probes = wanted.mapInArrow(probe, f"leaf long, query long, vector {kind}") if total else spark.createDataFrame([], f"leaf long, query long, vector {kind}")
     parts = max(8, total * trees // 40_000)
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: dict[int, dict[int, float]] = {}
         if left.num_rows and right.num_rows:
             leaf_l, leaf_r = left["leaf"].to_numpy(), right["leaf"].to_numpy()
             q, c = _matrix(left["vector"]), _matrix(right["vector"])
             qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
             query, rep = left["query"].to_numpy(), right["rep"].to_numpy()
-            order = np.argsort(leaf_r, kind="stable")
-            ordered = leaf_r[order]
-            for number in np.unique(leaf_l):
-                mine = np.flatnonzero(leaf_l == number)
-                near = order[np.searchsorted(ordered, number) : np.searchsorted(ordered, number, "right")]
-                near = near[np.argsort(rep[near])]
+            by_leaf, by_query = np.lexsort((rep, leaf_r)), np.argsort(leaf_l, kind="stable")
+            ordered, numbers = leaf_r[by_leaf], leaf_l[by_query]
+            edges = np.flatnonzero(np.diff(numbers, prepend=numbers[0] - 1, append=numbers[-1] + 1))
+            for begin, end in zip(edges[:-1], edges[1:]):
+                mine = by_query[begin:end]
+                near = by_leaf[np.searchsorted(ordered, numbers[begin]) : np.searchsorted(ordered, numbers[begin], "right")]
                 if not len(near):
                     continue
                 score = (q[mine] @ c[near].T) / (qn[mine][:, None] * cn[near][None, :])
-                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-                out.append((np.repeat(query[mine], top.shape[1]), rep[near[top]].reshape(-1), np.take_along_axis(score, top, 1).reshape(-1)))
-        a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query": pa.array(a, pa.int64()), "rep": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
+                most = min(k + 1, len(near))
+                cut = np.partition(score, len(near) - most, axis=1)[:, len(near) - most]
+                row, col = np.nonzero(score >= cut[:, None])  # ties at the cut stay
+                for a, b, x in zip(query[mine[row]].tolist(), rep[near[col]].tolist(), score[row, col].tolist()):
+                    own = found.setdefault(a, {})
+                    own[b] = max(x, own.get(b, -2.0))
+        best = [(a, b, x) for a, own in found.items() for b, x in heapq.nsmallest(k + 1, own.items(), key=lambda i: (-i[1], i[0]))]
+        a, b, x = zip(*best) if best else ((), (), ())
+        return pa.table({"query": pa.array(a, pa.int64()), "rep": pa.array(b, pa.int64()), "score": pa.array(x, pa.float64())})
 
     part = (F.col("leaf") % parts).alias("part")
     met = probes.select("*", part).groupBy("part").cogroup(placed.select("*", part).groupBy("part")).applyInArrow(rank, "query long, rep long, score double")
