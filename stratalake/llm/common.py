@@ -28,7 +28,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -88,38 +88,45 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
 
 
 def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text): anchors, each surrounding once a batch (its first), and spans that repeats in the batch cover (h null)."""
-    for batch in batches(it, 1024):
+    """From (doc_id, text): anchors, each surrounding once a batch (its first), and (kind 0: doc_id, start, stop) spans that repeats in the batch cover."""
+    for batch in batches(it, 512):
         doc = batch.column(0).to_numpy()
         order = np.argsort(doc, kind="stable")
         texts = word_texts(batch.column(1))
         texts, doc = [texts[i] for i in order.tolist()], doc[order]
         sizes = np.array([len(t) for t in texts], np.int64)
         owner, pos, gram, around = anchors(texts)
-        names = ["h", "around", "doc_id", "pos", "size"]
         kept = np.sort(np.unique(np.stack([gram, around], 1).view([("g", "i8"), ("a", "i8")]).ravel(), return_index=True)[1])
         again = np.ones(len(pos), bool)
         again[kept] = False
         start, end = window_span(pos[again], sizes[owner[again]])
         spans = _spans(doc[owner[again]], start, end)
-        yield pa.RecordBatch.from_arrays([pa.array(gram[kept]), pa.array(around[kept]), pa.array(doc[owner[kept]]), pa.array(pos[kept].astype(np.int32)), pa.array(sizes[owner[kept]].astype(np.int32))], names=names)
-        if spans.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(spans.num_rows, pa.int64()), pa.nulls(spans.num_rows, pa.int64()), spans.column(0), spans.column(1).cast(pa.int32()), spans.column(2).cast(pa.int32())], names=names)
+        parts = [(gram[kept], np.ones(len(kept)), around[kept], doc[owner[kept]], pos[kept], sizes[owner[kept]])]
+        if spans.num_rows:  # dealt like anchors
+            span_doc, span_start, span_stop = (c.to_numpy() for c in spans.columns)
+            parts.append((mixed(span_doc.astype(np.uint64) + span_start.astype(np.uint64)).astype(np.int64), np.zeros(len(span_doc)), span_doc * 0, span_doc, span_start, span_stop))
+        kinds = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*parts), kinds)], names=["h", "kind", "around", "doc_id", "pos", "size"])
 
 
 def _settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors in order (h, around, doc_id, pos, size): spans of repeated surroundings (h null: doc_id, start, stop), and the first of each surroundings in groups of several (h, doc_id, pos, class number)."""
+    """From anchors in order (h, kind, around, doc_id, pos, size): spans of repeated surroundings (h null: doc_id, start, stop), and the first of each surroundings in groups of several (h, doc_id, pos, class number)."""
     held: list[np.ndarray] | None = None
 
     def finished(c: list[np.ndarray]) -> pa.RecordBatch:
-        h, around, doc, pos, size = c
+        inside = c[1] == 0
+        given = [x[inside] for x in c[3:]]
+        h, _, around, doc, pos, size = (x[~inside] for x in c)
+        if not len(h):
+            spans = _spans(*given)
+            return pa.RecordBatch.from_arrays([pa.nulls(spans.num_rows, pa.int64()), *spans.columns], names=["h", "doc_id", "pos", "stop"])
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         new = new_h | np.concatenate([[True], around[1:] != around[:-1]])
         group = np.cumsum(new_h) - 1
         classes = np.bincount(group, new)[group]
         first = np.flatnonzero(new & (classes > 1))
         start, end = window_span(pos[~new], size[~new])
-        spans = _spans(doc[~new], start, end)
+        spans = _spans(*(np.concatenate(x) for x in zip(given, (doc[~new], start, end))))
         return pa.RecordBatch.from_arrays(
             [pa.concat_arrays([pa.nulls(spans.num_rows, pa.int64()), pa.array(h[first], pa.int64())]), pa.concat_arrays([spans.column(0), pa.array(doc[first], pa.int64())]), pa.concat_arrays([spans.column(1), pa.array(pos[first], pa.int64())]), pa.concat_arrays([spans.column(2), pa.array(classes[first].astype(np.int64), pa.int64())])],
             names=["h", "doc_id", "pos", "stop"],
@@ -313,9 +320,8 @@ def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
     """(doc_id, start, stop) of spans to remove from texts with one row an id, each text there once; spans may overlap."""
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(texts.mapInArrow(_find_anchors, "h long, around long, doc_id long, pos int, size int"))
-    inside = found.where("h IS NULL").select("doc_id", F.col("pos").cast("long").alias("start"), F.col("size").cast("long").alias("stop"))
-    dealt = found.where("h IS NOT NULL").repartition(width, "h").sortWithinPartitions("h", "around", "doc_id", "pos")
+    found = texts.mapInArrow(_find_anchors, "h long, kind int, around long, doc_id long, pos int, size int")
+    dealt = found.repartition(width, "h").sortWithinPartitions("h", "kind", "around", "doc_id", "pos")
     settled = materialize(dealt.mapInArrow(_settle, "h long, doc_id long, pos long, stop long"))
     release(spark)
     whole = settled.where("h IS NULL").select("doc_id", F.col("pos").alias("start"), "stop")
@@ -328,7 +334,7 @@ def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
     windows = around.where(F.col("members") > large).mapInArrow(_each_window, "key binary, doc_id long, start long")
     first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     met = windows.join(first, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return inside.unionByName(whole).unionByName(compared).unionByName(met)
+    return whole.unionByName(compared).unionByName(met)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", large: int = LARGE) -> DataFrame:
