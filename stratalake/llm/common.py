@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,5 +59,7 @@ def drop_table(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of plans that nothing refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the second round takes what the first one's finalizers let go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)

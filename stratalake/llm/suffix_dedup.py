@@ -33,6 +33,8 @@ LENGTH, GRAM, LARGE = 100, 32, 100_000
 REACH = LENGTH - GRAM  # windows start at most so far before an anchor
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POSITION_BITS = np.uint64(28)
+#: Marks a span among anchors; the lower bits are position and size, or start and stop, of 31 bits each.
+SPAN = 1 << 62
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +90,7 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
 
 
 def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text): anchors, each surrounding once a batch (its first), and (kind 0: doc_id, start, stop) spans that repeats in the batch cover."""
+    """From (doc_id, text): anchors, each surrounding once a batch (its first), and (place over SPAN: doc_id, start, stop) spans that repeats in the batch cover."""
     for batch in batches(it, 512):
         doc = batch.column(0).to_numpy()
         order = np.argsort(doc, kind="stable")
@@ -101,22 +103,24 @@ def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again[kept] = False
         start, end = window_span(pos[again], sizes[owner[again]])
         spans = _spans(doc[owner[again]], start, end)
-        parts = [(gram[kept], np.ones(len(kept)), around[kept], doc[owner[kept]], pos[kept], sizes[owner[kept]])]
+        parts = [(gram[kept], around[kept], doc[owner[kept]], pos[kept] << 31 | sizes[owner[kept]])]
         if spans.num_rows:  # dealt like anchors
             span_doc, span_start, span_stop = (c.to_numpy() for c in spans.columns)
-            parts.append((mixed(span_doc.astype(np.uint64) + span_start.astype(np.uint64)).astype(np.int64), np.zeros(len(span_doc)), span_doc * 0, span_doc, span_start, span_stop))
-        kinds = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*parts), kinds)], names=["h", "kind", "around", "doc_id", "pos", "size"])
+            parts.append((mixed(span_doc.astype(np.uint64) + span_start.astype(np.uint64)).astype(np.int64), span_doc * 0, span_doc, SPAN | span_start << 31 | span_stop))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts)], names=["h", "around", "doc_id", "place"])
 
 
 def _settle(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From anchors in order (h, kind, around, doc_id, pos, size): spans of repeated surroundings (h null: doc_id, start, stop), and the first of each surroundings in groups of several (h, doc_id, pos, class number)."""
+    """From anchors in order (h, around, doc_id, place): spans of repeated surroundings (h null: doc_id, start, stop), and the first of each surroundings in groups of several (h, doc_id, pos, class number)."""
     held: list[np.ndarray] | None = None
 
     def finished(c: list[np.ndarray]) -> pa.RecordBatch:
-        inside = c[1] == 0
-        given = [x[inside] for x in c[3:]]
-        h, _, around, doc, pos, size = (x[~inside] for x in c)
+        *c, place = c
+        inside = place >= SPAN
+        place &= SPAN - 1
+        c += [place >> 31, place & (1 << 31) - 1]
+        given = [x[inside] for x in c[2:]]
+        h, around, doc, pos, size = (x[~inside] for x in c)
         if not len(h):
             spans = _spans(*given)
             return pa.RecordBatch.from_arrays([pa.nulls(spans.num_rows, pa.int64()), *spans.columns], names=["h", "doc_id", "pos", "stop"])
@@ -320,8 +324,8 @@ def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
     """(doc_id, start, stop) of spans to remove from texts with one row an id, each text there once; spans may overlap."""
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(_find_anchors, "h long, kind int, around long, doc_id long, pos int, size int")
-    dealt = found.repartition(width, "h").sortWithinPartitions("h", "kind", "around", "doc_id", "pos")
+    found = texts.mapInArrow(_find_anchors, "h long, around long, doc_id long, place long")
+    dealt = found.repartition(width, "h").sortWithinPartitions("h", "around", "doc_id", "place")
     settled = materialize(dealt.mapInArrow(_settle, "h long, doc_id long, pos long, stop long"))
     release(spark)
     whole = settled.where("h IS NULL").select("doc_id", F.col("pos").alias("start"), "stop")
