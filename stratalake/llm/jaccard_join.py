@@ -6,19 +6,23 @@ threshold share a shingle of both prefixes. A list of the index is kept in order
 skips the blocks of it whose sizes or positions cannot reach the threshold.
 
 Answers are derived from similar sets' answers. The first pass compares each set with the head of its lists and its
-neighbour only, which joins groups of copies in linear work. The second pass takes the pairs of lists that are not yet
-in one component; the overlap of a set x with the head of a star bounds its overlap with each member y of the star from
+neighbour only, which joins groups of copies in linear work. `PIVOTS` further passes compare the sets of a list that are
+not in its largest star's component with the head of that star and with a drawn member of its component, and components
+of a list with each other in a shuffled row, so that dense groups grow together. The last pass takes the pairs of lists that are still
+in two components; the overlap of a set x with the head of a star bounds its overlap with each member y of the star from
 both sides (|x∩y| <= |x∩h| + |y - h|, |x∩y| >= |x∩h| + |y∩h| - |h|), and only pairs that the bounds leave open are
 compared. No pair within a component is made, and none is dropped.
 
 Words are runs of non-blanks with A-Z lower-cased; a text of fewer than five words has its whole sequence as one
 shingle; texts without words (null, empty, blank) have no shingles and no links. Rows without an id have no component.
-Repeated rows and ids stay rows of their own. Shingles are compared by 64-bit hashes.
+Repeated rows and ids stay rows of their own. Shingles are told apart by 64-bit hashes
+(48 of those bits where overlaps are counted).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import batches, drop_table, materialize, release, word_texts
 from .components import connected_components
 
-WIDTH, BUCKETS = 5, 1 << 18
+WIDTH, BUCKETS, PIVOTS = 5, 1 << 18, 3
 #: Rows of a list that are compared at a time.
 TILE = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -223,6 +227,47 @@ def _first_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent = True
 
 
+def _whole_lists(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows ordered by the first one, never parting equal values of it."""
+    held: list[np.ndarray] | None = None
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        columns = _columns(batch)
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        held = [c[cut:] for c in columns]
+        if cut:
+            yield [c[:cut] for c in columns]
+    if held is not None:
+        yield held
+
+
+def _pivot_pass(it: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """From rows (h, n, node, pos, label, arms) in order: the row of most arms of each list, and drawn rows of its component, with those of other components, and one row of each component of a list with one of the next, components being in a shuffled order."""
+    for h, n, node, pos, label, arms in _whole_lists(it):
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+        pivot = np.lexsort((-arms, group))[start][group]
+        key = mixed(label.view(np.uint64) + np.uint64(seed))
+        order = np.lexsort((mixed(node.view(np.uint64) + np.uint64(seed)), key, group))
+        first = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (key[order][1:] != key[order][:-1])])
+        chosen = order[first]
+        beside = np.flatnonzero(group[chosen][1:] == group[chosen][:-1])
+        same = label == label[pivot]
+        grouped = np.lexsort((~same, group))  # the pivot's component leads its list
+        drawn = (mixed((h ^ node).view(np.uint64) + np.uint64(seed)) % np.bincount(group, same)[group].astype(np.uint64)).astype(np.int64)
+        drawn = grouped[start[group] + drawn]
+        rows = np.arange(len(h))
+        one, two = np.concatenate([rows, rows, chosen[beside]]), np.concatenate([pivot, drawn, chosen[beside + 1]])
+        small, large = np.minimum(one, two), np.maximum(one, two)
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        fits = (label[small] != label[large]) & _reach(n[small], pos[small], n[large], pos[large])
+        a, b = _distinct_pairs(node[small[fits]], node[large[fits]])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _second_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (h, n, node, pos, label) in order: the pairs of each list that are in two components and may be linked."""
 
@@ -239,8 +284,6 @@ def _second_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(x):
                     yield node[a][x], node[b][y]
 
-    held: list[np.ndarray] | None = None
-
     def finished(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, n, node, pos, label = columns
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -261,18 +304,12 @@ def _second_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = _distinct_pairs(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    for batch in it:
-        if not batch.num_rows:
-            continue
-        columns = _columns(batch)
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last list may go on
-        held = [c[cut:] for c in columns]
-        if cut:
-            yield from finished([c[:cut] for c in columns])
-    if held is not None:
-        yield from finished(held)
+    for columns in _whole_lists(it):
+        yield from finished(columns)
+
+
+#: Overlaps are counted on 48 bits of each hash, which lessens what is shuffled.
+_PART = np.uint64((1 << 48) - 1)
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -280,7 +317,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
         for batch in batches(it, 256):
             sets = shingle_sets(word_texts(batch.column(0)))
             lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets).astype(np.int64)))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array((np.concatenate(sets) & _PART).astype(np.int64)))], names=["node", "shingles"])
 
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
@@ -326,9 +363,19 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     sets = materialize(_sets_of(texts.join(needed, "doc_id", "left_semi").select("text")).join(live.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     release(spark)
     stars = materialize(_overlaps(pairs, sets).where(_enough(F.col("both"), F.col("na"), F.col("nb"))))
+    tried = pairs
+    for turn in range(PIVOTS):
+        labels = connected_components(stars)
+        degree = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count("*").alias("arms"))
+        named = live.join(labels, "node", "left").join(degree, "node", "left").select("h", "n", "node", "pos", F.coalesce("label", "node").alias("label"), F.coalesce("arms", F.lit(0)).alias("arms"))
+        more = named.repartition(width, "h").sortWithinPartitions("h", "n", "node").mapInArrow(partial(_pivot_pass, seed=turn), "a long, b long").distinct()
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"))
+        tried = materialize(tried.union(more))
+        stars = materialize(stars.union(_overlaps(more, sets).where(_enough(F.col("both"), F.col("na"), F.col("nb")))))
+        release(spark)
     labels = connected_components(stars)
     named = live.join(labels, "node", "left").select("h", "n", "node", "pos", F.coalesce("label", "node").alias("label"))
-    open_pairs = materialize(named.repartition(width, "h").sortWithinPartitions("h", "n", "node").mapInArrow(_second_pass, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+    open_pairs = materialize(named.repartition(width, "h").sortWithinPartitions("h", "n", "node").mapInArrow(_second_pass, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
     release(spark)
     links = materialize(stars.select("a", "b").union(_derived_links(open_pairs, stars, sets)).distinct())
     final = connected_components(links)
@@ -337,7 +384,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(smallest, "label").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     by_class = materialize(by_class)
-    for table in (first, pairs, sets, stars, open_pairs):
+    for table in (first, sets, open_pairs):
         drop_table(table)
     out = members.join(by_class, "node", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
