@@ -7,7 +7,7 @@ skips the blocks of it whose sizes or positions cannot reach the threshold.
 
 Answers are derived from similar sets' answers. The first pass compares each set with the head of its lists and its
 neighbour only, which joins groups of copies in linear work. `PIVOTS` further passes compare the sets of a list that are
-not in its largest star's component with the head of that star and with a drawn member of its component, and components
+not in its largest star's component with the head of that star and with `DRAWS` drawn members of its component, and components
 of a list with each other in a shuffled row, so that dense groups grow together. The last pass takes the pairs of lists that are still
 in two components; the overlap of a set x with the head of a star bounds its overlap with each member y of the star from
 both sides (|x∩y| <= |x∩h| + |y - h|, |x∩y| >= |x∩h| + |y∩h| - |h|), and only pairs that the bounds leave open are
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import batches, drop_table, materialize, release, word_texts
 from .components import connected_components
 
-WIDTH, BUCKETS, PIVOTS = 5, 1 << 18, 3
+WIDTH, BUCKETS, PIVOTS, DRAWS = 5, 1 << 18, 3, 4
 #: Rows of a list that are compared at a time.
 TILE = 2048
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -257,10 +257,13 @@ def _pivot_pass(it: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
         beside = np.flatnonzero(group[chosen][1:] == group[chosen][:-1])
         same = label == label[pivot]
         grouped = np.lexsort((~same, group))  # the pivot's component leads its list
-        drawn = (mixed((h ^ node).view(np.uint64) + np.uint64(seed)) % np.bincount(group, same)[group].astype(np.uint64)).astype(np.int64)
-        drawn = grouped[start[group] + drawn]
-        rows = np.arange(len(h))
-        one, two = np.concatenate([rows, rows, chosen[beside]]), np.concatenate([pivot, drawn, chosen[beside + 1]])
+        rows, size = np.arange(len(h)), np.bincount(group, same)[group].astype(np.uint64)
+        ones, twos = [rows, chosen[beside]], [pivot, chosen[beside + 1]]
+        for turn in range(DRAWS):
+            drawn = (mixed((h ^ node).view(np.uint64) + np.uint64(seed * DRAWS + turn)) % size).astype(np.int64)
+            ones.append(rows)
+            twos.append(grouped[start[group] + drawn])
+        one, two = np.concatenate(ones), np.concatenate(twos)
         small, large = np.minimum(one, two), np.maximum(one, two)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         fits = (label[small] != label[large]) & _reach(n[small], pos[small], n[large], pos[large])
