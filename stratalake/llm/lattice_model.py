@@ -29,7 +29,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, materialize, word_texts
+from .common import batches, materialize, release, word_texts
 
 MARK = "▁"
 FOLDS, HELD_OUT, ROUNDS, SMOOTH = 7, 2, 2, 0.1
@@ -263,6 +263,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     common = texts.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
     classes = sorted(row["lang"] for row in common)
     counts = materialize(word_counts(texts, classes))
+    release(spark)
     columns = ["c", *(f"c{i}" for i in range(len(classes) + 1))]
     sizes = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in columns), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"v_{c}") for c in columns), *(F.coalesce(F.sum(F.when(F.col("word") == "", F.col(c))), F.lit(0)).alias(f"e_{c}") for c in columns)).first()
     n, v = sizes["n_c"], sizes["v_c"]
