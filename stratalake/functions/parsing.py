@@ -32,7 +32,7 @@ def token(raw: Column, missing: list[str], states: dict[str, str]) -> Column:
 
 
 def wrapped_azimuth(azimuth: Column) -> Column:
-    return F.pmod(azimuth, F.lit(360.0))
+    return F.pmod(azimuth, F.lit(360.0)) + F.lit(0.0)  # no negative zero
 
 
 def dip_below_horizontal(dip: Column, convention: str) -> Column:
