@@ -105,6 +105,7 @@ SELECT realization, category, round(max(cells) / sum(cells), 6) AS largest, roun
     "a37_persistence": """WITH r AS (SELECT l_orderkey AS hole, l_returnflag AS prior, l_extendedprice % 1000 / 1000 AS p FROM lineitem), b AS (SELECT hole, prior, min(p) AS least, max(p) AS most, avg(p) AS mean FROM r GROUP BY ALL)
 SELECT hole, CASE WHEN min(least) >= 0.6 THEN 'present' WHEN max(most) <= 0.4 THEN 'absent' WHEN max(mean) - min(mean) >= 0.3 THEN 'prior-dependent' ELSE 'uncertain' END AS persistence FROM b GROUP BY 1""",
     "a42_chosen_candidates": f"WITH {LENGTHS} SELECT hole, sample AS candidate, value AS rmse FROM l WHERE len / 50 >= 0.5 QUALIFY row_number() OVER (PARTITION BY hole ORDER BY value, from_md, sample) = 1",
-    "a45_patterns": f"""WITH {SAMPLES}, c AS (SELECT hole AS i, sample AS j, CAST(analyte = 'A' AS INTEGER) AS v FROM samples)
-SELECT a.v + 2 * e.v + 4 * s.v + 8 * d.v AS code, count(*) AS n FROM c a JOIN c e ON e.i = a.i + 1 AND e.j = a.j JOIN c s ON s.i = a.i AND s.j = a.j + 1 JOIN c d ON d.i = a.i + 1 AND d.j = a.j + 1 GROUP BY 1""",
+    "a45_patterns": f"""WITH {SAMPLES}, c AS (SELECT hole AS i, sample AS j, CAST(analyte = 'A' AS INTEGER) AS v FROM samples),
+h AS MATERIALIZED (SELECT a.i, a.j, a.v, s.v AS s FROM c a JOIN c s ON s.i = a.i AND s.j = a.j + 1)
+SELECT a.v + 2 * e.v + 4 * a.s + 8 * e.s AS code, count(*) AS n FROM h a JOIN h e ON e.i = a.i + 1 AND e.j = a.j GROUP BY 1""",
 }
