@@ -165,6 +165,14 @@ def test_quality(spark, documents, odd, empty):
     assert keep_good(full, labels).columns == full.columns
 
 
+def test_top_word_counts_all_words():
+    from stratalake.llm.quality_trees import FEATURES, statistics
+
+    at = FEATURES.index("top_word")
+    assert statistics(b"one two three " + b"junk " * 7)[at] == 0.7 and statistics(b" ")[at] == 0 and statistics(b"")[at] == 0
+    assert statistics(b"a b a c")[FEATURES.index("distinct_words")] == 0.75
+
+
 def test_lattice(odd, empty, documents):
     from stratalake.llm.lattice_model import held_out, load_vocabulary, score_texts, word_scores, words_of
 
