@@ -23,23 +23,27 @@ def fixed_boundaries(intervals: DataFrame, length: float) -> DataFrame:
     """(hole, k, lo, hi): edges every `length` from 0 to the deepest end; the last piece keeps the residual."""
     deepest = sound(intervals).groupBy("hole").agg(F.max("to_md").alias("deep"))
     edges = deepest.select("hole", "deep", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("deep") / length) - 1).cast("int"))).alias("k"))
-    return edges.select("hole", "k", (F.col("k") * length).alias("lo"), F.least((F.col("k") + 1) * length, F.col("deep")).alias("hi"))
+    return edges.select("hole", "k", (F.col("k") * length).alias("lo"), F.least((F.col("k") + 1) * length, F.col("deep")).alias("hi")).where("lo < hi")
 
 
 def composites(intervals: DataFrame, length: float, least: float) -> DataFrame:
-    """Length-weighted means of fixed-length composites by hole and analyte, where coverage is at least `least`."""
+    """Length-weighted means of fixed-length composites by hole and analyte, where coverage is at least `least`.
+
+    Every composite of a hole is returned for each analyte of the hole; one that no valued sample meets has coverage 0.
+    """
     edges = fixed_boundaries(intervals, length)
     a = sound(intervals).where("value IS NOT NULL")
     met = edges.join(a, "hole").where((F.col("from_md") < F.col("hi")) & (F.col("to_md") > F.col("lo")))
     part = overlap_length(F.col("from_md"), F.col("to_md"), F.col("lo"), F.col("hi"))
-    exact = F.col("value").cast("decimal(12,2)") * part.cast("decimal(10,0)")
-    total = met.groupBy("hole", "k", "lo", "hi", "analyte").agg(F.sum(exact).cast("double").alias("numerator"), F.sum(part).alias("covered"), F.count("*").alias("parents"))
+    total = met.groupBy("hole", "k", "analyte").agg(F.sum(F.col("value") * part).alias("numerator"), F.sum(part).alias("covered"), F.count("*").alias("parents"))
+    wanted = edges.join(sound(intervals).where("analyte IS NOT NULL").select("hole", "analyte").distinct(), "hole")
+    total = wanted.join(total, ["hole", "k", "analyte"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("numerator", "covered", "parents")})
     span = F.col("hi") - F.col("lo")
-    kept = F.col("covered") / span >= least
+    kept = (F.col("parents") > 0) & (F.col("covered") / span >= least)
     return total.select(
         "hole", "k", "analyte", "lo", "hi", "numerator", "covered", "parents",
         F.when(kept, F.col("numerator") / F.col("covered")).alias("mean"),
-        F.when(~kept, "insufficient").when(span < length, "residual").otherwise("full").alias("status"),
+        F.when(~kept, "insufficient").when(span < length - TOLERANCE, "residual").otherwise("full").alias("status"),
     )
 
 
