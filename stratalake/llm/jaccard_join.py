@@ -11,7 +11,11 @@ not in its largest star's component with the head of that star and with `DRAWS`
 of a list with each other in a shuffled row, so that dense groups grow together. The last pass takes the pairs of lists that are still
 in two components; the overlap of a set x with the head of a star bounds its overlap with each member y of the star from
 both sides (|x∩y| <= |x∩h| + |y - h|, |x∩y| >= |x∩h| + |y∩h| - |h|), and only pairs that the bounds leave open are
-compared. No pair within a component is made, and none is dropped.
+compared. No pair within a component is made to find the components, and none across is dropped.
+
+Links are counted after that, within each component, as every link lies in one: its classes are dealt into blocks of at
+most about `BLOCK` sets and `BLOCK_SHINGLES` shingles, and each pair of blocks is one task that counts all its overlaps
+exactly, relative to one set that stands for the others. Only counts by class leave a task.
 
 Words are runs of non-blanks with A-Z lower-cased; a text of fewer than five words has its whole sequence as one
 shingle; texts without words (null, empty, blank) have no shingles and no links. Rows without an id have no component.
@@ -34,6 +38,8 @@ from .components import connected_components
 WIDTH, BUCKETS, PIVOTS, DRAWS = 5, 1 << 18, 3, 4
 #: Rows of a list that are compared at a time.
 TILE = 2048
+#: Sets and shingles of a component's block, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -345,8 +351,92 @@ def _enough(both: Column, na: Column, nb: Column) -> Column:
     return 100 * both >= 80 * (na + nb - both)
 
 
-def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts the class's links found, copies aside."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap of each left set with each right one: a dense product over the shingles of a middle-sized set, pairs of rows over the rest."""
+    sets = left + right
+    head = np.sort(sorted(left, key=len)[len(left) // 2])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(head, flat), len(head) - 1)
+    known = head[at] == flat
+    dense = np.zeros((len(sets), len(head)), np.float32)  # counts below 2^24 are exact
+    dense[row[known], at[known]] = 1
+    both = np.rint(dense[: len(left)] @ dense[len(left) :].T).astype(np.int64)
+    row, flat = row[~known], flat[~known]
+    order = np.lexsort((row, flat))
+    row, flat = row[order], flat[order]
+    if not len(row):
+        return both
+    start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    run = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+    ours = np.add.reduceat((row < len(left)).astype(np.int64), start)  # left rows lead each run
+    theirs = np.diff(np.append(start, len(row))) - ours
+    mine = np.flatnonzero((row < len(left)) & (theirs[run] > 0))
+    total = np.cumsum(theirs[run[mine]])
+    done = 0
+    while done < len(mine):  # a few million pairs at a time
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 4_000_000, "right")))
+        part = mine[done:stop]
+        n = theirs[run[part]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = row[np.repeat(start[run[part]] + ours[run[part]], n) + within] - len(left)
+        both += np.bincount(np.repeat(row[part], n) * len(right) + other, minlength=both.size).reshape(both.shape)
+        done = stop
+    return both
+
+
+def _count_pass(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (label, one, two, block, node, shingles) in order of the pair of blocks: (node, n_links) within each pair."""
+
+    def counted(rows: list[tuple[int, int, np.ndarray]], same: bool) -> pa.RecordBatch:
+        first = rows[0][0]
+        left = [r for r in rows if r[0] == first]
+        right = left if same else [r for r in rows if r[0] != first]
+        if right:
+            both = _common([r[2] for r in left], [r[2] for r in right])
+            na, nb = (np.array([len(r[2]) for r in side]) for side in (left, right))
+            linked = 100 * both >= 80 * (na[:, None] + nb[None, :] - both)
+            if same:
+                np.fill_diagonal(linked, False)
+            sides = [(left, linked.sum(1))] if same else [(left, linked.sum(1)), (right, linked.sum(0))]
+        else:
+            sides = []
+        nodes = [r[1] for side, _ in sides for r in side]
+        counts = np.concatenate([c for _, c in sides]) if sides else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts.astype(np.int64))], names=["node", "n_links"])
+
+    key, held = None, []
+    for batch in batches(it, 512):
+        label, one, two, block, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+        ends = np.concatenate([[0], np.cumsum(batch.column(5).value_lengths().to_numpy())])
+        flat = batch.column(5).flatten().to_numpy()
+        for i in range(len(node)):
+            mine = (label[i], one[i], two[i])
+            if mine != key:
+                if held:
+                    yield counted(held, key[1] == key[2])
+                key, held = mine, []
+            held.append((block[i], node[i], flat[ends[i] : ends[i + 1]].copy()))
+    if held:
+        yield counted(held, key[1] == key[2])
+
+
+def _link_counts(components: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(node, n_links) of the classes of components (node, label) of two or more."""
+    rows = components.join(sets, "node")
+    size = rows.groupBy("label").agg(F.count("*").alias("k"), F.sum(F.size("shingles")).cast("long").alias("total"))
+    parts = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    size = materialize(size.select("label", "k", parts.alias("parts")))
+    two = components.join(size.where("k = 2"), "label").select("node", F.lit(1).cast("long").alias("n_links"))  # they are linked
+    dealt = components.join(size.where("k > 2"), "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "shingles")
+    keys = ["label", "one", "two"]
+    counts = paired.repartition(width, *keys).sortWithinPartitions(*keys, "block").mapInArrow(_count_pass, "node long, n_links long")
+    return two.union(counts.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row; n_links counts all other classes that the row's class links with, and is left out without `count_links`."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     digests = materialize(_digests(texts))
@@ -382,16 +472,19 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     release(spark)
     links = materialize(stars.select("a", "b").union(_derived_links(open_pairs, stars, sets)).distinct())
     final = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     grouped = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = grouped.join(smallest, "label").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_class = grouped.join(smallest, "label").select("node", "component_id")
+    if count_links:
+        release(spark)
+        by_class = by_class.join(materialize(_link_counts(final, sets, width)), "node", "left")
     by_class = materialize(by_class)
     for table in (first, sets, open_pairs):
         drop_table(table)
     out = members.join(by_class, "node", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), *found)
 
 
 def _derived_links(pairs: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -416,6 +509,6 @@ def _derived_links(pairs: DataFrame, stars: DataFrame, sets: DataFrame) -> DataF
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` but for near duplicates of a smaller id; rows without an id or a shingle stay."""
-    groups = similar_documents(docs)
+    groups = similar_documents(docs, count_links=False)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -104,6 +104,29 @@ def test_jaccard_join(spark, documents, odd, empty):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), top(r.doc_id))
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_jaccard_counts_all_links(spark, documents, monkeypatch, block):
+    from stratalake.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 120)]
+    near = [" ".join(base[:i] + [f"n{i}"] + base[i + 1 :]) for i in range(3, 83, 2)]
+    chain = [" ".join(f"c{i}" for i in range(k * 10, k * 10 + 110)) for k in range(8)]
+    texts = [(r.doc_id, r.text) for r in documents.collect()] + [(10_000 + i, t) for i, t in enumerate(near + chain + near[:2])]
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    kinds = {}
+    for doc_id, text in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(up))
+        kinds[doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    links = {}
+    for s in set(kinds.values()):
+        links[s] = sum(t != s and 100 * len(s & t) >= 80 * len(s | t) for t in set(kinds.values()) if s and t)
+    assert links[kinds[10_000]] == len(near) - 1 and len({links[kinds[10_040 + i]] for i in range(8)}) > 1
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard_join.similar_documents(table).collect()} == {i: links[s] for i, s in kinds.items()}
+
+
 def test_media_stream(odd, empty):
     from stratalake.llm.media_stream import StreamError, add_stream, demux, mux, padded, read_streams
 
