@@ -31,6 +31,41 @@ def capped_neighbours(pairs: DataFrame, per_hole: int, most: int) -> DataFrame:
     return capped.withColumn("nth", F.row_number().over(in_all)).where(F.col("nth") <= most)
 
 
+def neighbourhoods(targets: DataFrame, observations: DataFrame, per_hole: int, most: int, first_radius: float, radius: float | None = None) -> DataFrame:
+    """The capped neighbours of each target (id, x, y) among observations (id, hole, x, y, value) of other ids, within `radius` where one is declared.
+
+    The search doubles its radius for targets with fewer than `most` neighbours, until it covers all points; nothing
+    farther can displace the neighbours of a target that has its number.
+    """
+    both = targets.select("x", "y").union(observations.select("x", "y"))
+    box = both.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
+    widest = 2 * max(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) + first_radius if box["n"] else 0.0
+    goals = targets.select("id", "x", "y")
+    left, reach, found = goals, first_radius if radius is None else radius, None
+    while True:
+        met = cell_pairs(left, observations, reach).where("id <> id_2").select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "id_2", F.col("x_2").alias("x"), F.col("y_2").alias("y"), F.round("distance", 9).alias("distance"))
+        near = capped_neighbours(met.withColumnRenamed("id_2", "id").join(observations.select("id", "hole", "value"), "id"), per_hole, most).localCheckpoint()
+        if radius is not None or reach > widest:
+            return near if found is None else found.unionByName(near)
+        done = near.groupBy("target").count().where(F.col("count") >= most).select("target")
+        settled = near.join(done, "target", "left_semi")
+        found = settled if found is None else found.unionByName(settled)
+        left = left.join(done.withColumnRenamed("target", "id"), "id", "left_anti").localCheckpoint()  # else plans double each round
+        if left.isEmpty():
+            return found
+        reach *= 2
+
+
+def with_uninformed(targets: DataFrame, estimates: DataFrame, neighbours: DataFrame, min_samples: int) -> DataFrame:
+    """Every target (id) with its estimate and status; uninformed, of 0 samples and holes, with fewer than `min_samples` neighbours."""
+    met = neighbours.groupBy("target").agg(F.count("*").alias("samples"), F.countDistinct("hole").alias("holes")).where(F.col("samples") >= min_samples)
+    own = [c for c in estimates.columns if c not in ("target", "samples", "holes", "status")]
+    status = F.col("status") if "status" in estimates.columns else F.lit("estimated").alias("status")
+    known = met.join(estimates.select("target", *own, status), "target")
+    rows = targets.select(F.col("id").alias("target")).join(known, "target", "left")
+    return rows.select("target", F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("holes", F.lit(0)).alias("holes"), *own, F.coalesce("status", F.lit("uninformed")).alias("status"))
+
+
 def inverse_distance(neighbours: DataFrame, power: float = 2.0) -> DataFrame:
     """(target, samples, holes, estimate): weighted means; an exact hit takes the observed mean there."""
     w = F.when(F.col("distance") > 0, 1 / F.pow("distance", F.lit(power)))

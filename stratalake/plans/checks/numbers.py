@@ -14,8 +14,18 @@ def pairs(s, d):
     return rows.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "hole", F.col("id_2").alias("id"), F.col("x_2").alias("x"), F.col("y_2").alias("y"), F.round("distance", 9).alias("distance"), "value")
 
 
+def whole(s, d, estimator):
+    """All sites as targets, without a radius; at least 4 samples as the reference's plan has it."""
+    a = sites(s, d)
+    near = spatial.neighbourhoods(a, a, 2, 8, 1500.0)
+    return spatial.with_uninformed(a, estimator(near), near, 4)
+
+
 PAIRS = f"WITH {SITES}, pairs AS (SELECT a.id AS target, b.hole, b.id, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9) AS distance, b.value FROM sites a JOIN sites b ON a.id <> b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1500), capped AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY target, hole ORDER BY distance, id) <= 2), near AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, id) AS nth FROM capped QUALIFY row_number() OVER (PARTITION BY target ORDER BY distance, id) <= 8)"
 
+ALL = PAIRS.replace(" AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1500", "") + ", met AS (SELECT target, count(*) AS samples, count(DISTINCT hole) AS holes, coalesce(avg(value) FILTER (distance = 0), sum(value / distance ** 2) FILTER (distance > 0) / sum(1 / distance ** 2) FILTER (distance > 0)) AS blend, min(value) FILTER (nth = 1) AS nearest FROM near GROUP BY 1 HAVING count(*) >= 4)"
+EACH = "SELECT s.id AS target, coalesce(samples, 0) AS samples, coalesce(holes, 0) AS holes, {} AS estimate, CASE WHEN samples IS NULL THEN 'uninformed' ELSE 'estimated' END AS status FROM sites s LEFT JOIN met ON met.target = s.id"
+
 
 def forecasts(s, d):
     e = read(s, d, "embeddings").where(F.size("embedding") > 8)
@@ -36,7 +46,9 @@ QUERIES = {
     "w4_capped_neighbours": lambda s, d: spatial.capped_neighbours(pairs(s, d), 2, 8).select("target", "hole", "id", F.round("distance", 6).alias("distance"), "nth"),
     "t9_inverse_distance": lambda s, d: spatial.inverse_distance(spatial.capped_neighbours(pairs(s, d), 2, 8)).withColumn("estimate", F.round("estimate", 4)),
     "t9_nearest": lambda s, d: spatial.capped_neighbours(pairs(s, d), 1, 1).select("target", F.col("value").alias("estimate")),
-    "t9_ordinary_kriging": lambda s, d: spatial.ordinary_kriging(spatial.capped_neighbours(pairs(s, d), 2, 8), 1.0, 2000.0, 0.1),
+    "t9_inverse_distance_all": lambda s, d: whole(s, d, spatial.inverse_distance).withColumn("estimate", F.round("estimate", 4)),
+    "t9_nearest_all": lambda s, d: whole(s, d, lambda near: near.where("nth = 1").select("target", F.col("value").alias("estimate"))),
+    "t9_ordinary_kriging": lambda s, d: whole(s, d, lambda near: spatial.ordinary_kriging(near, 1.0, 2000.0, 0.1)),
     "a15_declustered_mean": lambda s, d: spatial.declustered_mean(sites(s, d), 500.0).select(F.round("declustered", 4).alias("declustered"), "offsets"),
     "a16_downhole_variogram": variogram,
     "a19_error_scores": lambda s, d: scores.error_scores(estimates(s, d), ["method"]).select("method", "n", "holes", *(F.round(c, 6).alias(c) for c in ("bias", "mae", "rmse", "p50", "p90"))),
@@ -53,6 +65,8 @@ ORACLES = {
     "w4_capped_neighbours": PAIRS + " SELECT target, hole, id, round(distance, 6) AS distance, CAST(nth AS INTEGER) AS nth FROM near",
     "t9_inverse_distance": PAIRS + " SELECT target, count(*) AS samples, count(DISTINCT hole) AS holes, round(coalesce(avg(value) FILTER (distance = 0), sum(value / distance ** 2) FILTER (distance > 0) / sum(1 / distance ** 2) FILTER (distance > 0)), 4) AS estimate FROM near GROUP BY 1",
     "t9_nearest": PAIRS + " SELECT target, value AS estimate FROM near WHERE nth = 1",
+    "t9_inverse_distance_all": f"{ALL} {EACH.format('round(blend, 4)')}",
+    "t9_nearest_all": f"{ALL} {EACH.format('nearest')}",
     "a15_declustered_mean": f"WITH {SITES}, cells AS (SELECT o, floor((x + o * 125.0) / 500) AS cx, floor((y + o * 125.0) / 500) AS cy, avg(value) AS m FROM sites, range(4) t(o) GROUP BY ALL) SELECT round(avg(m), 4) AS declustered, count(*) AS offsets FROM (SELECT o, avg(m) AS m FROM cells GROUP BY 1)",
     "a19_error_scores": "SELECT l_returnflag AS method, count(*) AS n, count(DISTINCT l_orderkey) AS holes, round(avg(e), 6) AS bias, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(quantile_cont(abs(e), 0.5), 6) AS p50, round(quantile_cont(abs(e), 0.9), 6) AS p90 FROM (SELECT *, l_linenumber * 8.0::DOUBLE - l_quantity AS e FROM lineitem) GROUP BY 1",
     "a21_fair_crps": "SELECT vec_id, round((SELECT avg(abs(CAST(m AS DOUBLE) - CAST(embedding[1] AS DOUBLE))) FROM unnest(embedding[2:9]) t(m)) - (SELECT sum(abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE))) FROM unnest(embedding[2:9]) t(a), unnest(embedding[2:9]) u(b)) / (2 * 8 * 7), 6) AS crps FROM embeddings WHERE len(embedding) > 8",
