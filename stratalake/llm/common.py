@@ -3,23 +3,31 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a slice of an Arrow batch, about; a single longer row is a slice of its own.
+SLICE = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. A temporary one only where none is set and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="stratalake-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -30,18 +38,45 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete what `materialize` wrote, once all that is made from it is written too."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Smaller slices of Arrow batches, so that a task holds few long texts at a time."""
+def _row_bytes(column: pa.Array) -> np.ndarray | int:
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(column.type):
+        return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) * 8
+    return 8
+
+
+def batches(it: Iterator[pa.RecordBatch], rows: int = 2048, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most `rows` rows and about `size` bytes, so that a task holds few long texts at a time."""
     for batch in it:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        if not batch.num_rows:
+            continue
+        if batch.num_rows <= rows and batch.nbytes <= size:
+            yield batch
+            continue
+        ends = np.cumsum(sum((_row_bytes(c) for c in batch.columns), np.zeros(batch.num_rows, np.int64)))
+        start = 0
+        while start < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right"))
+            stop = min(batch.num_rows, start + rows, max(full, start + 1))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def word_texts(column: pa.Array) -> list[bytes]:
@@ -49,14 +84,6 @@ def word_texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that `materialize` wrote, once what was made from it is written too."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of plans that nothing refers to any more, before the next large shuffle."""
     for _ in range(2):  # the second round takes what the first one's finalizers let go

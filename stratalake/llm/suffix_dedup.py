@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, drop_table, materialize, release, word_texts
+from .common import batches, drop_tables, materialize, release, word_texts
 from .jaccard_join import _POWERS, mixed
 
 LENGTH, GRAM, LARGE = 100, 32, 100_000
@@ -353,7 +353,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spans = repeated_spans(texts, large).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # a few an anchor of the text
     cut = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     cut = materialize(cut)
-    drop_table(texts)
+    drop_tables(texts)
     taking = taken.withColumn("takes_part", F.lit(True))
     copies = first.withColumnRenamed("first_id", "copied")
     state = listed.join(taking, ["doc_id", "digest"], "left").join(copies, "digest", "left")
