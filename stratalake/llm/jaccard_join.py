@@ -628,32 +628,34 @@ def link_classes(texts: DataFrame, count_links: bool = True) -> tuple[DataFrame,
     def linked(pairs: DataFrame) -> DataFrame:
         return overlaps(pairs).where(_enough(F.col("both"), F.col("na"), F.col("nb")))
 
-    stars, tried = materialize(linked(pairs)), pairs
-    labels = connected_components(stars)
+    tried, stars = [pairs], [materialize(linked(pairs))]
+    labels = connected_components(stars[0])
     for turn in range(PIVOTS + CHAMPIONS):
-        release(spark)
-        tries = _near_enough(_pivot_pairs(live, labels, stars, turn), classes) if turn < PIVOTS else _open_pairs(live, labels, classes, width, best=True)
-        more = materialize(tries.join(tried, ["a", "b"], "left_anti"))
-        found = materialize(linked(more))
-        grown, wider, joined = materialize(stars.union(found)), materialize(tried.union(more)), extended_components(labels, found)
-        drop_tables(stars, tried, more, found, labels)
-        stars, tried, labels = grown, wider, joined
+        tries = _near_enough(_pivot_pairs(live, labels, reduce(DataFrame.union, stars), turn), classes) if turn < PIVOTS else _open_pairs(live, labels, classes, width, best=True)
+        more = materialize(tries.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"))
+        tried.append(more)
+        if not more.isEmpty():
+            stars.append(materialize(linked(more)))
+            joined = extended_components(labels, stars[-1])
+            drop_tables(labels)
+            labels = joined
+    open_pairs = materialize(_open_pairs(live, labels, classes, width, best=False).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"))
+    drop_tables(first, *tried)
     release(spark)
-    open_pairs = materialize(_open_pairs(live, labels, classes, width, best=False).join(tried, ["a", "b"], "left_anti"))
-    drop_tables(first, tried)
-    release(spark)
-    derived, between = _derived_links(open_pairs, stars, overlaps)
-    derived = materialize(derived)
-    drop_tables(open_pairs, stars, *between)
-    final = extended_components(labels, derived)
+    final = labels
+    if not open_pairs.isEmpty():
+        derived, between = _derived_links(open_pairs, reduce(DataFrame.union, stars), overlaps)
+        derived = materialize(derived)
+        final = extended_components(labels, derived)
+        drop_tables(*between, derived, labels)
+    drop_tables(open_pairs, *stars)
     grouped = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(smallest, "label").select("node", "label", "component_id")
     if count_links:
-        release(spark)
         by_class = by_class.join(materialize(_link_counts(final, classes, sets(), width)), "node", "left")
     by_class = materialize(by_class)
-    drop_tables(*known, labels, derived, final)
+    drop_tables(*known, final)
     return members, by_class
 
 
