@@ -6,15 +6,18 @@ symbol. Pieces hold a word-start mark in front at most, so the sum over a text's
 words' sums: each distinct word is summed once, and texts add up the words.
 
 Piece scores start from the vocabulary's own order and are re-estimated from all distinct training words by two rounds
-of expectation maximisation. Characters without a piece are spelled in bytes. Pieces alone score far below plain word
-counts, so the lattice of a word has one more arc: the word as a whole where training texts hold it, weighted by its
-count less `DISCOUNT`; what is discounted weighs the segmentations into pieces. Such a lattice is held for each language
-of the training rows, with that of all rows in place of the pieces, and a text's probability is the mixture over
-languages: `lang` is read in training only, never for the text that is scored.
-
-Words are runs of non-blanks with A-Z lower-cased, and each text ends in one end token (kept as the empty word). Null
-text counts as empty: the end token alone. Rows without an id count as training rows. Repeated rows each count. An empty
-table gives no rows.
+of expectation maximisation. Characters without a piece are spelled in bytes. `lattice_score` is the text's probability by
+these pieces alone. Pieces alone score far below plain word counts, so for `score` the lattice of a word has one more arc:
+the word as a whole where training texts hold it, weighted by its count less `DISCOUNT`; what is discounted weighs the
+segmentations into pieces. Such arcs are held for each of the `languages` most frequent languages of the training rows (the
+rest share one), with those of all rows below them, and a text's probability is the mixture over languages: `lang` is read
+in training only, never for the text that is scored.
+
+Texts are dealt into blocks. The distinct words of a block ask for their scores and counts in a join by word, and come back
+to the block in packed form, so that neither a text nor a word of it is a row of a shuffle more than once.
+
+Words are runs of non-blanks with A-Z lower-cased, and each text ends in one end token. Null text counts as empty: the end
+token alone. Rows without an id count as training rows. Repeated rows each count. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,19 +25,22 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import batches, materialize, release, word_texts
 
 MARK = "▁"
 FOLDS, HELD_OUT, ROUNDS, SMOOTH = 7, 2, 2, 0.1
-#: Taken off each count of a word for the arcs below it; languages with a lattice of their own, the rest share one.
-DISCOUNT, CLASSES = 0.75, 6
+#: Taken off each count of a word for the arcs below it.
+DISCOUNT = 0.75
+#: Rows that are packed at a time, and their bytes.
+PACKED, PACKED_BYTES = 500_000, 48 << 20
 #: Distinct words a task gathers before it sends them on.
 GATHERED = 400_000
 #: Arcs of characters without a piece, by their number of bytes.
@@ -187,7 +193,7 @@ def expected_pieces(vocabulary: Vocabulary, scores: np.ndarray, words: list[str]
 
 
 def word_counts(texts: DataFrame, classes: list[str]) -> DataFrame:
-    """(word, c, c0, c1, ...) over all rows of (doc_id, text, lang): training counts, in all and by class; they may be 0.
+    """(word, c0, c1, ...) over all rows of (doc_id, text, lang): training counts by class; they may be 0.
 
     The empty word is the end. The last class holds the rows of all other languages.
     """
@@ -215,17 +221,16 @@ def word_counts(texts: DataFrame, classes: list[str]) -> DataFrame:
         yield from sent()
 
     by_class = [F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(len(classes) + 1)]
-    return texts.mapInArrow(run, "word string, k int, c long").groupBy("word").agg(F.sum("c").alias("c"), *by_class)
+    return texts.mapInArrow(run, "word string, k int, c long").groupBy("word").agg(*by_class)
 
 
-def fit_scores(vocab: DataFrame, path: str, classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-probabilities of pieces by class, and last of the end symbol; rows as long as the vocabulary file."""
+def fit_scores(vocab: DataFrame, path: str, columns: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """Log-probabilities of the pieces by class, re-estimated on the words that the class's column of vocab counts, and last of the end symbol."""
     vocabulary = load_vocabulary(path)
-    width = len(vocabulary.start)
+    width, classes = len(vocabulary.start), len(columns)
     scores = np.repeat(vocabulary.start[None, :], classes, 0)
     uses = np.ones((classes, width))
-    columns = [f"c{i}" for i in range(classes)]
-    training = vocab.where("c > 0 AND word <> ''").select("word", *columns)
+    training = vocab.select("word", *columns)
     for _ in range(rounds):
         shared = vocab.sparkSession.sparkContext.broadcast(scores)
 
@@ -255,68 +260,119 @@ def _estimate(uses: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([np.log(pieces / total), k * np.log(spelled / total / 256), [np.log(1 / total)]])
 
 
-def score_texts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def word_values(counts: np.ndarray, pieces: np.ndarray, uses: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Log-probability of each word by class. counts, pieces (log-probabilities by the pieces alone): (words, classes); uses, spare: of all rows, then by class."""
+    with np.errstate(divide="ignore"):
+        overall = np.logaddexp(np.log(np.maximum(counts.sum(1, keepdims=True) - DISCOUNT, 0) / uses[0]), np.log(spare[0]) + pieces)
+        return np.logaddexp(np.log(np.maximum(counts - DISCOUNT, 0) / uses[1:]), np.log(spare[1:]) + overall)
+
+
+def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (block, word, pieces, c0, c1, ...): for each block of some rows its words, their piece scores and their counts, each packed."""
+
+    def sent(t: pa.Table) -> pa.RecordBatch:
+        block = t.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        stop = np.append(start[1:], len(block))
+        words = pa.ListArray.from_arrays(pa.array(np.append(start, len(block)), pa.int32()), t.column(1).combine_chunks().take(pa.array(order)))
+        counts = np.stack([c.to_numpy() for c in t.columns[3:]], 1)[order]
+        pieces = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float32).reshape(counts.shape)[order]
+        joined = [pa.compress(w, codec="zstd", asbytes=True) for w in pc.binary_join(words, " ").cast(pa.binary()).to_pylist()]
+        sizes = pc.binary_length(pc.binary_join(words, " ").cast(pa.binary()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[start], pa.int32()), pa.array(stop - start, pa.int64()), sizes.cast(pa.int64()), pa.array(joined, pa.binary()), pa.array([pieces[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()), pa.array([pa.compress(counts[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(start, stop)], pa.binary())],
+            names=["block", "n", "size", "words", "pieces", "counts"],
+        )
+
+    held, rows, size = [], 0, 0
+    for batch in it:
+        if batch.num_rows:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= PACKED or size >= PACKED_BYTES:
+            yield sent(pa.Table.from_batches(held))
+            held, rows, size = [], 0, 0
+    if held:
+        yield sent(pa.Table.from_batches(held))
+
+
+def score_texts(docs: DataFrame, vocabulary_path: str, languages: int = 6) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) of every row."""
     spark = docs.sparkSession
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.cast("string").alias("lang"))
-    common = texts.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
+    common = texts.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     classes = sorted(row["lang"] for row in common)
+    columns = [f"c{i}" for i in range(len(classes) + 1)]
     counts = materialize(word_counts(texts, classes))
     release(spark)
-    columns = ["c", *(f"c{i}" for i in range(len(classes) + 1))]
-    sizes = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in columns), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"v_{c}") for c in columns), *(F.coalesce(F.sum(F.when(F.col("word") == "", F.col(c))), F.lit(0)).alias(f"e_{c}") for c in columns)).first()
+    present = counts.agg(*(F.sum(c).alias(c) for c in columns)).first()
+    columns = [c for c in columns if present[c]] or columns[:1]  # languages without training rows have no lattice
+    counts = counts.select("word", *columns)
+    whole = reduce(Column.__add__, map(F.col, columns))
+    named = counts.withColumn("c", whole)
+    every = ["c", *columns]
+    sizes = named.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in every), *(F.count(F.when(F.col(c) > 0, 1)).alias(f"v_{c}") for c in every), *(F.coalesce(F.sum(F.when(F.col("word") == "", F.col(c))), F.lit(0)).alias(f"e_{c}") for c in every)).first()
     n, v = sizes["n_c"], sizes["v_c"]
-    uses = np.array([max(1, sizes[f"n_{c}"]) for c in columns], np.float64)
-    spare = np.array([DISCOUNT * sizes[f"v_{c}"] if sizes[f"n_{c}"] else 1 for c in columns]) / uses
-    prior = np.log(np.array([sizes[f"e_{c}"] + 0.5 for c in columns[1:]]) / (sizes["e_c"] + 0.5 * (len(columns) - 1)))
-    fitted = fit_scores(counts, vocabulary_path, len(columns) - 1)
-    shared = spark.sparkContext.broadcast((fitted, uses, spare))
-    values = [f"v{i}" for i in range(len(columns) - 1)]
+    uses = np.array([max(1, sizes[f"n_{c}"]) for c in every], np.float64)
+    spare = np.array([DISCOUNT * sizes[f"v_{c}"] if sizes[f"n_{c}"] else 1 for c in every]) / uses
+    ends = np.array([sizes[f"e_{c}"] for c in columns], np.int64)
+    prior = np.log((ends + 0.5) / (ends.sum() + 0.5 * len(columns)))
+    fitted = fit_scores(named.where("c > 0 AND word <> ''"), vocabulary_path, columns)
+    shared = spark.sparkContext.broadcast(fitted)
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, (scores, uses, spare) = load_vocabulary(vocabulary_path), shared.value
+        vocabulary = load_vocabulary(vocabulary_path)
         for batch in batches(it, 20_000):
-            words = batch.column(0).to_pylist()
-            pieces = word_scores(vocabulary, scores[:, :-1], words)
-            pieces[[i for i, w in enumerate(words) if not w]] = scores[:, -1]
-            whole = np.maximum(np.stack([batch.column(i + 1).to_numpy() for i in range(len(columns))], 1) - DISCOUNT, 0) / uses
-            with np.errstate(divide="ignore"):
-                overall = np.logaddexp(np.log(whole[:, :1]), np.log(spare[0]) + pieces)
-                value = np.logaddexp(np.log(whole[:, 1:]), np.log(spare[1:]) + overall).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, value.T.copy())], names=["word", "c", *values])
-
-    scored = counts.mapInArrow(score, "word string, c long, " + ", ".join(f"{v} float" for v in values))
+            pieces = word_scores(vocabulary, shared.value[:, :-1], batch.column(0).to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in pieces], pa.binary()), *batch.columns[1:]], names=["word", "pieces", *columns])
+
+    scored = counts.where("word <> ''").mapInArrow(score, "word string, pieces binary, " + ", ".join(f"{c} long" for c in columns))
     blocks = 2 * max(1, texts.rdd.getNumPartitions())
-    dealt = texts.drop("lang").withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    place = F.pmod(F.xxhash64(F.spark_partition_id(), "doc_id", "text"), F.lit(blocks)).cast("int")  # copies lie in many scan partitions
+    dealt = texts.select(place.alias("block"), "doc_id", "text").repartition(4 * blocks, "block")  # read twice, written once
 
     def distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[bytes]] = defaultdict(set)
         for batch in batches(it, 512):
-            for block, text in zip(batch.column(1).to_pylist(), word_texts(batch.column(0))):
+            for block, text in zip(batch.column(0).to_pylist(), word_texts(batch.column(2))):
                 seen[block].update(words_of(text))
         for block, words in seen.items():
-            listed = [b"", *words]
+            listed = list(words)
             for s in range(0, len(listed), 50_000):
                 part = listed[s : s + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary()).cast(pa.string())], names=["block", "word"])
 
-    needed = dealt.select("text", "block").mapInArrow(distinct, "block int, word string").join(scored, "word").select("block", "word", "c", *values)
+    asked = dealt.mapInArrow(distinct, "block int, word string").join(scored, "word").select("block", "word", "pieces", *columns)
+    needed = asked.mapInArrow(_packed, "block int, n long, size long, words binary, pieces binary, counts binary")
+    end_value = word_values(ends[None, :], fitted[None, :, -1], uses, spare)[0]
+    end_base, end_known = np.log10((ends.sum() + 1) / (n + v + 1)), int(ends.sum() > 0)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(right["word"].cast(pa.binary()).to_pylist())}
-        c = right["c"].to_numpy()
-        known, base = c > 0, np.log10((c + 1) / (n + v + 1))
-        value = np.stack([right[x].to_numpy() for x in values], 1).astype(np.float64)
-        ids, rows, end = left["doc_id"].to_pylist(), [], place.get(b"")
+        words: list[bytes] = []
+        pieces, parts = [], []
+        for rows, size, w, p, c in zip(*(right[name].to_pylist() for name in ("n", "size", "words", "pieces", "counts"))):
+            words += pa.decompress(w, size, codec="zstd", asbytes=True).split(b" ")
+            pieces.append(np.frombuffer(p, np.float32).reshape(rows, len(columns)))
+            parts.append(np.frombuffer(pa.decompress(c, 8 * rows * len(columns), codec="zstd", asbytes=True), np.int64).reshape(rows, len(columns)))
+        at_word = {w: i for i, w in enumerate(words)}
+        piece = np.concatenate([np.zeros((0, len(columns))), *pieces])
+        count = np.concatenate([np.zeros((0, len(columns)), np.int64), *parts])
+        c = count.sum(1)
+        known, base, value = c > 0, np.log10((c + 1) / (n + v + 1)), word_values(count, piece, uses, spare)
+        ids, rows = left["doc_id"].to_pylist(), []
         for text in word_texts(left["text"].combine_chunks()):
-            at = np.array([*map(place.__getitem__, words_of(text)), end])
-            rows.append((len(at), int(known[at].sum()), float(base[at].sum()), float(np.logaddexp.reduce(prior + value[at].sum(0)) / np.log(10))))
-        tokens, n_known, base_score, score = zip(*rows) if rows else ((), (), (), ())
+            at = np.fromiter(map(at_word.__getitem__, words_of(text)), np.int64)
+            mixture = np.logaddexp.reduce(prior + end_value + value[at].sum(0))
+            alone = np.logaddexp.reduce(prior + fitted[:, -1] + piece[at].sum(0))
+            rows.append((len(at) + 1, int(known[at].sum()) + end_known, float(base[at].sum() + end_base), float(mixture / np.log(10)), float(alone / np.log(10))))
+        tokens, n_known, base_score, score, lattice = zip(*rows) if rows else ((),) * 5
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(list(map(held_out, ids)), pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64()),
+            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(list(map(held_out, ids)), pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(ids), pa.int64()),
+            "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64()), "lattice_score": pa.array(lattice, pa.float64()),
         })
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
     return dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(add_up, schema)
