@@ -8,6 +8,10 @@ in reach, which the queue holds in order. Windows whose length is a power of two
 beside the queue. Sequences never leave a block of about `BLOCK` tokens, so that memory is bounded by a block and the
 longest document, and no row moves between executors.
 
+Ids are those of the JSON tokenizer: the strings of its added tokens become their ids, and the rest is encoded by the
+same vocabulary's ranks. Runs of over `RUN` blanks, which the pattern's backtracking can't hold, are cut out first as the
+pieces that the pattern would make of them.
+
 Null text counts as empty: such a document is the end id alone. Repeated rows and ids are packed as rows of their own.
 An empty table gives no rows. Sequence ids are unique and follow the order within a partition.
 """
@@ -15,6 +19,8 @@ An empty table gives no rows. Sequence ids are unique and follow the order withi
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -34,15 +40,44 @@ SENTENCE_COST, INNER_COST = 1, 8
 SHORTER = (512, 256, 128)
 
 
+#: Blanks in a row from which on a run is cut out, and what the pattern takes for blanks (Unicode White_Space, a fixed value).
+RUN = 10_000
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class Encoder:
+    """Ids of a text by ranks and added tokens, and which ids end a sentence."""
+
+    def __init__(self, ranks_path: str, pattern: str, json_path: str, run: int = RUN):
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(json_path, encoding="utf-8") as file:
+            self.added = {t["content"]: int(t["id"]) for t in json.load(file)["added_tokens"]}
+        self.ends = np.zeros(max([*ranks.values(), *self.added.values()]) + 2, bool)
+        for raw, i in ranks.items():
+            self.ends[i] = raw.rstrip(b" ").endswith((b".", b"!", b"?")) or b"\n" in raw
+        self.plain = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.long_run = re.compile(f"[{BLANKS}]{{{run},}}")
+        self.names = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def _segment(self, text: str) -> list[np.ndarray]:
+        out, at = [], 0
+        for found in self.long_run.finditer(text):
+            stop = found.end() if found.end() == len(text) else found.end() - 1  # the last blank goes with what follows
+            out += [self.plain.encode_to_numpy(text[at : found.start()], disallowed_special=()), np.array(self.plain._encode_single_piece(text[found.start() : stop]), np.uint32)]
+            at = stop
+        return [*out, self.plain.encode_to_numpy(text[at:], disallowed_special=())]
+
+    def encode(self, text: str) -> np.ndarray:
+        parts = []
+        for k, segment in enumerate(self.names.split(text) if self.names else [text]):
+            parts += [np.array([self.added[segment]], np.uint32)] if k % 2 else self._segment(segment)
+        return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype(np.uint32)
+
+
 @lru_cache(maxsize=2)
-def load_encoder(ranks_path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoder, and which ids end a sentence."""
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    ends = np.zeros(max(ranks.values()) + 2, bool)
-    for raw, i in ranks.items():
-        ends[i] = raw.rstrip(b" ").endswith((b".", b"!", b"?")) or b"\n" in raw
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ends
+def load_encoder(ranks_path: str, pattern: str, json_path: str) -> Encoder:
+    return Encoder(ranks_path, pattern, json_path)
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, long: int = LONG, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -122,14 +157,15 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, json_path: str, end_id: int = 0, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece of a document in a sequence of at most `length` tokens."""
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=_NAMES)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ends = load_encoder(ranks_path, pattern)
+        encoder = load_encoder(ranks_path, pattern, json_path)
+        ends = encoder.ends
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         names: list = []
         parts: list[np.ndarray] = []
@@ -137,7 +173,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, end_id: int =
         last = np.array([end_id], np.uint32)
         for batch in batches(it):
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.concatenate([encoder.encode_to_numpy(text, disallowed_special=()).astype(np.uint32), last]) if text else last
+                part = np.concatenate([encoder.encode(text), last]) if text else last
                 names.append(name)
                 parts.append(part)
                 tokens += len(part)

@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TOKENIZER, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+RANKS, TOKENIZER, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens of the byte vocabulary."""
     import public_tokenizers
 
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return pack_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, public_tokenizers.path(TOKENIZER))
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

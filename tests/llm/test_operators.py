@@ -33,7 +33,7 @@ def test_packing(spark, documents, odd, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
     assert pack_documents(empty, *args).count() == 0
     pieces = pack_documents(odd, *args).toPandas()
     assert pieces["length"].sum() == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
@@ -55,6 +55,24 @@ def test_packing(spark, documents, odd, empty):
     assert sum(0 if s & (s - 1) == 0 else 1024 - s for s in sizes) < 0.02 * sum(sizes)
 
 
+def test_packing_ids():
+    import random
+
+    from stratalake.llm.packing import Encoder
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
+    encoder, short = Encoder(*args), Encoder(*args, run=5)
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "a", "Bc", " ", "  ", "\n", "\t", "\u3000", "é", "12", "'s", "<|", "endoftext", "|>", ".", "\x1c", "\xa0", " " * 6, "\n" * 7, "𐍈", "word"]
+    for text in ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text).tolist() == ids and short.encode(text).tolist() == ids, text
+    for text in ("x" + " " * 2_000_000 + "y", "\n" * 1_000_000):
+        assert encoder.plain.decode(encoder.encode(text).tolist()) == text
+
+
 def test_best_cuts_are_cheapest():
     from stratalake.llm.packing import best_cuts
 
