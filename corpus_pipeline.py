@@ -34,11 +34,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens."""
-    import public_tokenizers
-    from stratalake.llm.packing import pack_documents
-    from stratalake.llm.queries import TOKENIZER
+    from stratalake.llm.queries import packed
 
-    return pack_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return packed(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
