@@ -6,7 +6,7 @@ trained on labelled pages that this module authors from templates (`labelled_pag
 decoded by Viterbi; the blocks of the article are joined by line feeds.
 
 Null or empty html gives an empty text, and so does a page without article blocks. Character references are decoded
-once. An unfinished tag at the end is markup. Repeated rows are extracted as rows of their own.
+once. An unfinished tag at the end is markup. What stands in a form is no article, whatever its labels. Repeated rows are extracted as rows of their own.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,11 +28,14 @@ PAGES, STEPS, RATE, L2 = 400, 150, 0.15, 1e-3
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-RAW_TAGS = frozenset("script style template textarea title noscript iframe svg math object canvas audio video".split())
+#: Their content is no text of the page; without an end tag it reaches to the page's end, as in HTML.
+RAW_TAGS = frozenset("script style template textarea title noscript iframe".split())
+#: Their content is no text of the page if they end; else the page goes on after the start tag.
+EMBEDDED_TAGS = frozenset("svg object canvas audio video".split())
 #: What an opening tag closes if open, up to the tags that hold such tags.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: A quote that nothing closes within its tag is part of the tag.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>])|["'](?=[^"'<>]*>))*)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 FEATURE_TAGS = "article main section nav header footer aside form ul ol li table h1 h2 h3 p blockquote pre figure figcaption button label select dl div a body".split()
@@ -54,54 +58,81 @@ FEATURES = ["one", *(f"in_{t}" for t in FEATURE_TAGS), *(f"on_{t}" for t in FEAT
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 
 
+class Open:
+    """An open tag: what holds for all that it contains."""
+
+    __slots__ = ("above", "holder", "kinds", "name")
+
+    def __init__(self, name: str, words: list[str], over: Open | None):
+        self.name = name
+        self.above = over.above if over else frozenset()
+        if name not in self.above:
+            self.above |= {name}
+        self.kinds = over.kinds if over else frozenset()
+        if new := {WORD_KIND[w] for w in words if w in WORD_KIND} - self.kinds:
+            self.kinds |= new
+        self.holder = name if name in BLOCK_TAGS else over.holder if over else "body"
+
+
 class Block:
-    __slots__ = ("above", "linked", "names", "text")
+    __slots__ = ("above", "holder", "kinds", "linked", "text")
 
-    def __init__(self, text: str, above: tuple, names: frozenset, linked: float):
-        self.text, self.above, self.names, self.linked = text, above, names, linked
+    def __init__(self, text: str, inner: Open | None, linked: float):
+        self.text, self.linked = text, linked
+        self.above, self.kinds, self.holder = (inner.above, inner.kinds, inner.holder) if inner else (frozenset(), frozenset(), "body")
 
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order, white space folded, none empty."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[Open] = []
+    open_tags: Counter[str] = Counter()
     run: list[str] = []
-    links = linked = 0
+    linked = 0
 
     def close() -> None:
-        nonlocal links, linked
+        nonlocal linked
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), linked / max(1, sum(map(len, run)))))
+                out.append(Block(text, stack[-1] if stack else None, linked / max(1, sum(map(len, run)))))
             run.clear()
         linked = 0
 
+    def cut(at: int) -> None:
+        for x in stack[at:]:
+            open_tags[x.name] -= 1
+        del stack[at:]
+
     def leave(names: set[str] | frozenset[str], holders: set[str] | frozenset[str] = frozenset()) -> None:
         """Closes the outermost of `names` that is open inside the nearest of `holders`."""
-        nonlocal links
+        if not any(open_tags[x] for x in names):
+            return
         found = -1
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in holders:
+            if stack[i].name in holders:
                 break
-            if stack[i][0] in names:
+            if stack[i].name in names:
                 found = i
         if found >= 0:
-            links -= sum(t == "a" for t, _ in stack[found:])
-            del stack[found:]
+            cut(found)
 
-    at, raw = 0, None
+    at, raw, unclosed = 0, None, set()
     while True:
         if raw:
             end = re.compile(rf"</{raw}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not end:
+            if end:
+                at = end.end()
+            elif raw in RAW_TAGS:
                 break
-            at, raw = end.end(), None
+            else:
+                unclosed.add(raw)
+            raw = None
         tag = TAG.search(page, at)
         piece = page[at : tag.start() if tag else len(page)]
         if piece:
             run.append(piece)
-            if links:
+            if open_tags["a"]:
                 linked += len(piece)
         if not tag:
             break
@@ -112,20 +143,20 @@ def blocks_of(page: str) -> list[Block]:
         if tag[1]:
             if name in BLOCK_TAGS:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if name not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break
+            if open_tags[name]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].name == name:
+                        cut(i)
+                        break
+                    if name not in BLOCK_TAGS and stack[i].name in BLOCK_TAGS:
+                        break
             continue
         if name == "br":
             run.append(" ")
             continue
-        if name in RAW_TAGS:
+        if name in RAW_TAGS or name in EMBEDDED_TAGS:
             run.append(" ")
-            if not tag[3].rstrip().endswith("/"):
+            if not tag[3].rstrip().endswith("/") and name not in unclosed:
                 raw = name
             continue
         if name in BLOCK_TAGS:
@@ -135,9 +166,9 @@ def blocks_of(page: str) -> list[Block]:
                 leave(*CLOSED_BY[name])
         if name not in VOID_TAGS:
             given = tag[3]
-            words = frozenset(w for m in NAMES.finditer(given) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w) if "=" in given else frozenset()
-            stack.append((name, words))
-            links += name == "a"
+            words = [w for m in NAMES.finditer(given) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())] if "=" in given else []
+            stack.append(Open(name, words, stack[-1] if stack else None))
+            open_tags[name] += 1
     close()
     return out
 
@@ -147,12 +178,11 @@ def feature_rows(blocks: list[Block]) -> list[list[int]]:
     out = []
     for i, b in enumerate(blocks):
         found = [INDEX["one"]]
-        above = set(b.above)
+        above = b.above
         found += [INDEX[f"in_{t}"] for t in FEATURE_TAGS if t in above]
-        holder = next((t for t in reversed(b.above) if t in BLOCK_TAGS), "body")
-        if f"on_{holder}" in INDEX:
-            found.append(INDEX[f"on_{holder}"])
-        found += {INDEX[f"word_{WORD_KIND[w]}"] for w in b.names if w in WORD_KIND}
+        if f"on_{b.holder}" in INDEX:
+            found.append(INDEX[f"on_{b.holder}"])
+        found += [INDEX[f"word_{kind}"] for kind in sorted(b.kinds)]
         found += [INDEX[f"linked_{x}"] for x in LINKED if b.linked > x]
         size = b.text.count(" ") + 1
         found += [INDEX[f"words_{x}"] for x in SIZED if size >= x]
@@ -353,7 +383,7 @@ def main_text(page: str | None, field: tuple[np.ndarray, np.ndarray]) -> str:
         return ""
     weights, moves = field
     labels = viterbi(emissions(weights, feature_rows(blocks)), moves)
-    return "\n".join(b.text for b, label in zip(blocks, labels) if label)
+    return "\n".join(b.text for b, label in zip(blocks, labels) if label and "form" not in b.above)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, drop_tables, materialize, release, word_texts
+from .common import SLICE, batches, drop_tables, materialize, release, word_texts
 from .jaccard_join import _POWERS, mixed
 
 LENGTH, GRAM, LARGE = 100, 32, 100_000
@@ -37,12 +37,31 @@ _POSITION_BITS = np.uint64(28)
 SPAN = 1 << 62
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, gram hash, hash of the surroundings) of the anchors of all texts."""
+def anchors(texts: list[bytes], piece: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, gram hash, hash of the surroundings) of the anchors of all texts; longer texts are taken `piece` bytes of windows at a time."""
+    if all(len(t) <= 2 * piece for t in texts):
+        return _anchors(texts)
+    found = []
+    for i, text in enumerate(texts):
+        parts = []
+        for s in range(0, max(1, len(text) - LENGTH + 1), piece):
+            low = max(0, s - REACH)
+            part = _anchors([text[low : s + piece + REACH + LENGTH]], s - low, s - low + piece)
+            parts.append((part[1] + low, *part[2:]))
+        pos, gram, around = (np.concatenate(c) for c in zip(*parts))
+        first = np.unique(pos, return_index=True)[1]  # windows of two pieces may choose one anchor
+        found.append((np.full(len(first), i), pos[first], gram[first], around[first]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _anchors(texts: list[bytes], first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors chosen by the windows that start from `first` on and before `last`."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     stop = np.cumsum(sizes)
     none = np.zeros(0, np.int64)
+    if len(raw) > 1 << int(_POSITION_BITS):
+        raise ValueError("more bytes at once than positions have bits")
     if len(raw) < LENGTH:
         return none, none, none, none
     up, down = _POWERS.to(len(raw) + 1)
@@ -59,7 +78,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         least = np.minimum(least[:-rest], least[rest:])
     start = np.arange(len(least))
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
-    chosen = least[start + LENGTH <= stop[owner]]
+    chosen = least[(start + LENGTH <= stop[owner]) & (start >= first) & (start < (len(raw) if last is None else last))]
     at = np.unique((chosen & ((np.uint64(1) << _POSITION_BITS) - np.uint64(1))).astype(np.int64))
     owner = np.searchsorted(stop, at, "right")
     begin = stop[owner] - sizes[owner]
@@ -377,16 +396,17 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated strings removed from text (characters cut in part go too) and n_chars counted anew."""
-    cut = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("digest").alias("cut_digest"), F.col("kept").alias("cut_kept")).dropDuplicates(["cut_id", "cut_digest"])
+    free = next(x for x in ("cut", *(f"cut{i}" for i in range(len(docs.columns) + 1))) if not any(c.startswith(x) for c in docs.columns))
+    cut = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias(f"{free}_id"), F.col("digest").alias(f"{free}_digest"), F.col("kept").alias(f"{free}_kept")).dropDuplicates([f"{free}_id", f"{free}_digest"])
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
 
     def decoded(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for kept in it:
             yield pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
 
-    text = F.when(F.col("cut_id").isNotNull(), F.arrow_udf(decoded, "string")(F.col("cut_kept"))).otherwise(F.col("text"))
-    joined = docs.join(cut, (docs.doc_id == F.col("cut_id")) & (digest == F.col("cut_digest")), "left")
+    text = F.when(F.col(f"{free}_id").isNotNull(), F.arrow_udf(decoded, "string")(F.col(f"{free}_kept"))).otherwise(F.col("text"))
+    joined = docs.join(cut, (docs.doc_id == F.col(f"{free}_id")) & (digest == F.col(f"{free}_digest")), "left")
     changed = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("cut_id").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
+        changed = changed.withColumn("n_chars", F.when(F.col(f"{free}_id").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select([F.col(f"`{c}`") for c in docs.columns])
