@@ -45,6 +45,8 @@ PACKED, PACKED_BYTES = 500_000, 48 << 20
 GATHERED = 400_000
 #: Arcs of characters without a piece, by their number of bytes.
 SPELLED = 4
+#: Words of smaller probability are summed in logarithms.
+LEAST = 1e-250
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -140,6 +142,17 @@ class Vocabulary:
             forward[:, i] = top + np.log(np.exp(terms - top[:, None]).sum(1))
         return weight, forward
 
+    def sums(self, chances: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights of the arcs and forward sums by position as plain numbers, and whether a word's sum is far from underflow. chances: by piece, and 0 last."""
+        weight = chances[arcs]
+        n, size, most = arcs.shape
+        forward = np.zeros((n, size + 1))
+        forward[:, 0] = 1
+        for i in range(1, size + 1):
+            k = min(i, most)
+            forward[:, i] = np.einsum("nk,nk->n", weight[:, i - 1, :k], forward[:, i - k : i][:, ::-1])
+        return weight, forward, forward[:, size] > LEAST
+
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,10 +177,14 @@ def word_scores(vocabulary: Vocabulary, scores: np.ndarray, words: list[str]) ->
     """Marginal natural log-probability of each word, start mark included, by row of scores."""
     out = np.zeros((len(words), len(scores)))
     marked = [MARK + w for w in words]
+    chances = [np.append(np.exp(own), 0) for own in scores]
     for members in by_length(marked):
-        arcs = vocabulary.arcs([marked[i] for i in members])
+        arcs, members = vocabulary.arcs([marked[i] for i in members]), np.array(members)
         for k, own in enumerate(scores):
-            out[members, k] = vocabulary.lower(own, arcs)[1][:, -1]
+            _, forward, safe = vocabulary.sums(chances[k], arcs)
+            out[members[safe], k] = np.log(forward[safe, -1])
+            if not safe.all():
+                out[members[~safe], k] = vocabulary.lower(own, arcs[~safe])[1][:, -1]
     return out
 
 
@@ -175,23 +192,40 @@ def expected_pieces(vocabulary: Vocabulary, scores: np.ndarray, words: list[str]
     """Expected uses of each piece over all segmentations of the words."""
     total = np.zeros(len(scores))
     marked = [MARK + w for w in words]
+    chances = np.append(np.exp(scores), 0)
     for members in by_length(marked):
         arcs = vocabulary.arcs([marked[i] for i in members])
-        weight, forward = vocabulary.lower(scores, arcs)
+        weight, forward, safe = vocabulary.sums(chances, arcs)
+        if not safe.all():
+            total += _expected_in_logs(vocabulary, scores, arcs[~safe])
+            arcs, weight, forward = arcs[safe], weight[safe], forward[safe]
         n, size, most = arcs.shape
-        backward = np.full((n, size + 1), -np.inf)
-        backward[:, size] = 0
+        backward = np.zeros((n, size + 1))
+        backward[:, size] = 1
         for i in range(size - 1, -1, -1):
             k = min(size - i, most)
-            terms = weight[:, np.arange(i, i + k), np.arange(k)] + backward[:, i + 1 : i + k + 1]
-            top = terms.max(1)
-            backward[:, i] = top + np.log(np.exp(terms - top[:, None]).sum(1))
+            backward[:, i] = np.einsum("nk,nk->n", weight[:, np.arange(i, i + k), np.arange(k)], backward[:, i + 1 : i + k + 1])
         row, end, k = np.nonzero(arcs >= 0)
-        use = np.exp(weight[row, end, k] + forward[row, end - k] + backward[row, end + 1] - forward[row, size])
+        use = weight[row, end, k] * forward[row, end - k] * backward[row, end + 1] / forward[row, size]
         total += np.bincount(arcs[row, end, k], use, len(total))
     return total
 
 
+def _expected_in_logs(vocabulary: Vocabulary, scores: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+    weight, forward = vocabulary.lower(scores, arcs)
+    n, size, most = arcs.shape
+    backward = np.full((n, size + 1), -np.inf)
+    backward[:, size] = 0
+    for i in range(size - 1, -1, -1):
+        k = min(size - i, most)
+        terms = weight[:, np.arange(i, i + k), np.arange(k)] + backward[:, i + 1 : i + k + 1]
+        top = terms.max(1)
+        backward[:, i] = top + np.log(np.exp(terms - top[:, None]).sum(1))
+    row, end, k = np.nonzero(arcs >= 0)
+    use = np.exp(weight[row, end, k] + forward[row, end - k] + backward[row, end + 1] - forward[row, size])
+    return np.bincount(arcs[row, end, k], use, len(scores))
+
+
 def word_counts(texts: DataFrame, classes: list[str]) -> DataFrame:
     """(word, c0, c1, ...) over all rows of (doc_id, text, lang): training counts by class; they may be 0.
 
@@ -262,9 +296,11 @@ def _estimate(uses: np.ndarray, n: int) -> np.ndarray:
 
 def word_values(counts: np.ndarray, pieces: np.ndarray, uses: np.ndarray, spare: np.ndarray) -> np.ndarray:
     """Log-probability of each word by class. counts, pieces (log-probabilities by the pieces alone): (words, classes); uses, spare: of all rows, then by class."""
+    whole = np.maximum(counts.sum(1, keepdims=True) - DISCOUNT, 0) / uses[0]
+    own = np.maximum(counts - DISCOUNT, 0) / uses[1:]
+    sums = own + spare[1:] * (whole + spare[0] * np.exp(pieces))
     with np.errstate(divide="ignore"):
-        overall = np.logaddexp(np.log(np.maximum(counts.sum(1, keepdims=True) - DISCOUNT, 0) / uses[0]), np.log(spare[0]) + pieces)
-        return np.logaddexp(np.log(np.maximum(counts - DISCOUNT, 0) / uses[1:]), np.log(spare[1:]) + overall)
+        return np.where(sums > LEAST, np.log(sums), np.log(spare[1:] * spare[0]) + pieces)  # so small a sum has no whole arc
 
 
 def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,10 +315,9 @@ def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = pa.ListArray.from_arrays(pa.array(np.append(start, len(block)), pa.int32()), t.column(1).combine_chunks().take(pa.array(order)))
         counts = np.stack([c.to_numpy() for c in t.columns[3:]], 1)[order]
         pieces = np.frombuffer(b"".join(t.column(2).to_pylist()), np.float32).reshape(counts.shape)[order]
-        joined = [pa.compress(w, codec="zstd", asbytes=True) for w in pc.binary_join(words, " ").cast(pa.binary()).to_pylist()]
-        sizes = pc.binary_length(pc.binary_join(words, " ").cast(pa.binary()))
+        joined = pc.binary_join(words, " ").cast(pa.binary()).to_pylist()
         return pa.RecordBatch.from_arrays(
-            [pa.array(block[start], pa.int32()), pa.array(stop - start, pa.int64()), sizes.cast(pa.int64()), pa.array(joined, pa.binary()), pa.array([pieces[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()), pa.array([pa.compress(counts[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(start, stop)], pa.binary())],
+            [pa.array(block[start], pa.int32()), pa.array(stop - start, pa.int64()), pa.array([len(w) for w in joined], pa.int64()), pa.array([pa.compress(w, codec="zstd", asbytes=True) for w in joined], pa.binary()), pa.array([pieces[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()), pa.array([pa.compress(counts[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(start, stop)], pa.binary())],
             names=["block", "n", "size", "words", "pieces", "counts"],
         )
 
@@ -348,6 +383,14 @@ def score_texts(docs: DataFrame, vocabulary_path: str, languages: int = 6) -> Da
     asked = dealt.mapInArrow(distinct, "block int, word string").join(scored, "word").select("block", "word", "pieces", *columns)
     needed = asked.mapInArrow(_packed, "block int, n long, size long, words binary, pieces binary, counts binary")
     end_value = word_values(ends[None, :], fitted[None, :, -1], uses, spare)[0]
+    chance = np.exp(prior - np.logaddexp.reduce(prior))
+
+    def mixed_pieces(piece: np.ndarray) -> np.ndarray:
+        """Log-probability of words by the pieces, mixed over languages word by word."""
+        top = piece.max(1)
+        return top + np.log(np.exp(piece - top[:, None]) @ chance)
+
+    end_pieces = mixed_pieces(fitted[None, :, -1])[0]
     end_base, end_known = np.log10((ends.sum() + 1) / (n + v + 1)), int(ends.sum() > 0)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -357,17 +400,17 @@ def score_texts(docs: DataFrame, vocabulary_path: str, languages: int = 6) -> Da
             words += pa.decompress(w, size, codec="zstd", asbytes=True).split(b" ")
             pieces.append(np.frombuffer(p, np.float32).reshape(rows, len(columns)))
             parts.append(np.frombuffer(pa.decompress(c, 8 * rows * len(columns), codec="zstd", asbytes=True), np.int64).reshape(rows, len(columns)))
-        at_word = {w: i for i, w in enumerate(words)}
+        at_word = dict(zip(words, range(len(words))))
         piece = np.concatenate([np.zeros((0, len(columns))), *pieces])
         count = np.concatenate([np.zeros((0, len(columns)), np.int64), *parts])
         c = count.sum(1)
-        known, base, value = c > 0, np.log10((c + 1) / (n + v + 1)), word_values(count, piece, uses, spare)
+        each = np.column_stack([c > 0, np.log10((c + 1) / (n + v + 1)), mixed_pieces(piece), word_values(count, piece, uses, spare)])
+        del words, pieces, parts, piece, count
         ids, rows = left["doc_id"].to_pylist(), []
         for text in word_texts(left["text"].combine_chunks()):
             at = np.fromiter(map(at_word.__getitem__, words_of(text)), np.int64)
-            mixture = np.logaddexp.reduce(prior + end_value + value[at].sum(0))
-            alone = np.logaddexp.reduce(prior + fitted[:, -1] + piece[at].sum(0))
-            rows.append((len(at) + 1, int(known[at].sum()) + end_known, float(base[at].sum() + end_base), float(mixture / np.log(10)), float(alone / np.log(10))))
+            total = each[at].sum(0)
+            rows.append((len(at) + 1, int(total[0]) + end_known, float(total[1] + end_base), float(np.logaddexp.reduce(prior + end_value + total[3:]) / np.log(10)), float((total[2] + end_pieces) / np.log(10))))
         tokens, n_known, base_score, score, lattice = zip(*rows) if rows else ((),) * 5
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(list(map(held_out, ids)), pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(ids), pa.int64()),
