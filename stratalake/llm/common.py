@@ -86,6 +86,7 @@ def word_texts(column: pa.Array) -> list[bytes]:
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of plans that nothing refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.3)  # Spark's cleaner works beside
+    for _ in range(2):  # the second round takes what the first one's finalizers let go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)  # Spark's cleaner works beside

@@ -339,8 +339,8 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
-    """(doc_id, start, stop) of spans to remove from texts with one row an id, each text there once; spans may overlap."""
+def repeated_spans(texts: DataFrame, large: int = LARGE) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, start, stop) of spans to remove from texts with one row an id, each text there once; spans may overlap. And the tables they are read from."""
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = texts.mapInArrow(_find_anchors, "h long, around long, doc_id long, place long")
@@ -357,7 +357,7 @@ def repeated_spans(texts: DataFrame, large: int = LARGE) -> DataFrame:
     windows = around.where(F.col("members") > large).mapInArrow(_each_window, "key binary, doc_id long, start long")
     first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     met = windows.join(first, "key").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return whole.unionByName(compared).unionByName(met)
+    return whole.unionByName(compared).unionByName(met), [settled, around]
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", large: int = LARGE) -> DataFrame:
@@ -369,10 +369,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     taken = materialize(first.groupBy(F.col("first_id").alias("doc_id")).agg(F.min("digest").alias("digest")))
     texts = materialize(rows.join(taken.select("doc_id", "digest"), "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("digest")).select("doc_id", "text").dropDuplicates(["doc_id"]))
     release(docs.sparkSession)
-    spans = repeated_spans(texts, large).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # a few an anchor of the text
+    spans, between = repeated_spans(texts, large)
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # a few an anchor of the text
     cut = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     cut = materialize(cut)
-    drop_tables(texts)
+    drop_tables(texts, *between)
+    release(docs.sparkSession)
     taking = taken.withColumn("takes_part", F.lit(True))
     copies = first.withColumnRenamed("first_id", "copied")
     state = listed.join(taking, ["doc_id", "digest"], "left").join(copies, "digest", "left")
