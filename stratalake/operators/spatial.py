@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stratalake.storage import written
+
 
 def cell_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Pairs within `radius` in x and y, by grid cells: an equi-join on the cells around each left point."""
@@ -44,13 +49,13 @@ def neighbourhoods(targets: DataFrame, observations: DataFrame, per_hole: int, m
     left, reach, found = goals, first_radius if radius is None else radius, None
     while True:
         met = cell_pairs(left, observations, reach).where("id <> id_2").select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "id_2", F.col("x_2").alias("x"), F.col("y_2").alias("y"), F.round("distance", 9).alias("distance"))
-        near = capped_neighbours(met.withColumnRenamed("id_2", "id").join(observations.select("id", "hole", "value"), "id"), per_hole, most).localCheckpoint()
+        near = written(capped_neighbours(met.withColumnRenamed("id_2", "id").join(observations.select("id", "hole", "value"), "id"), per_hole, most))
         if radius is not None or reach > widest:
             return near if found is None else found.unionByName(near)
         done = near.groupBy("target").count().where(F.col("count") >= most).select("target")
         settled = near.join(done, "target", "left_semi")
         found = settled if found is None else found.unionByName(settled)
-        left = left.join(done.withColumnRenamed("target", "id"), "id", "left_anti").localCheckpoint()  # else plans double each round
+        left = written(left.join(done.withColumnRenamed("target", "id"), "id", "left_anti"))  # else plans double each round
         if left.isEmpty():
             return found
         reach *= 2
@@ -83,12 +88,57 @@ def declustered_mean(points: DataFrame, cell: float, offsets: int = 4) -> DataFr
 
 
 def downhole_variogram(samples: DataFrame, lag: float, lags: int) -> DataFrame:
-    """(bin, pairs, gamma): half the mean squared difference of pairs in a hole, by distance rounded half to even."""
-    a = samples.select("hole", "id", "depth", "value")
-    b = a.select("hole", *(F.col(c).alias(f"{c}_2") for c in ("id", "depth", "value")))
-    met = a.join(b, "hole").where("id < id_2").withColumn("bin", F.bround(F.abs(F.col("depth") - F.col("depth_2")) / lag).cast("long"))
-    half = F.pow((F.col("value") - F.col("value_2")), 2)
-    return met.where((F.col("bin") >= 1) & (F.col("bin") <= lags)).groupBy("bin").agg(F.count("*").alias("pairs"), (F.avg(half) / 2).alias("gamma"))
+    """(bin, pairs, gamma): half the mean squared difference of pairs in a hole, by distance rounded half to even.
+
+    Samples meet those of their own and the neighbouring stretch of a hole, a stretch being as long as the farthest lag.
+    """
+    stretch = F.floor(F.col("depth") / (lag * (lags + 1)))
+    a = samples.select("hole", "id", "depth", "value", stretch.alias("stretch"))
+    b = a.select("hole", *(F.col(c).alias(f"{c}_2") for c in ("id", "depth", "value")), F.explode(F.array(*(F.col("stretch") + i for i in (-1, 0, 1)))).alias("stretch"))
+    met = a.join(b, ["hole", "stretch"]).where("id < id_2").withColumn("bin", F.bround(F.abs(F.col("depth") - F.col("depth_2")) / lag).cast("long"))
+    return _gammas(met.where((F.col("bin") >= 1) & (F.col("bin") <= lags)), ["bin"])
+
+
+def _gammas(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    return pairs.groupBy(*keys).agg(F.count("*").alias("pairs"), (F.avg(F.pow(F.col("value") - F.col("value_2"), 2)) / 2).alias("gamma"))
+
+
+#: Azimuths of the four horizontal directions, in degrees from north.
+DIRECTIONS = {"azimuth-0": 0.0, "azimuth-45": 45.0, "azimuth-90": 90.0, "azimuth-135": 135.0}
+
+
+def spatial_variograms(points: DataFrame, lag: float, lags: int, tolerance: float = 22.5, bandwidth: float | None = None) -> DataFrame:
+    """(direction, bin, pairs, gamma) of points (id, x, y, value): omnidirectional and by four azimuths.
+
+    A pair is of a direction if the angle between them is within `tolerance` degrees and its offset across the direction
+    within `bandwidth`. Pairs at one place have no direction. Pairs meet in grid cells of the farthest lag.
+    """
+    a = points.select("id", "x", "y", "value")
+    met = cell_pairs(a, points, lag * (lags + 0.5)).where("id < id_2").join(points.select(F.col("id").alias("id_2"), F.col("value").alias("value_2")), "id_2")
+    met = met.withColumn("bin", F.bround(F.col("distance") / lag).cast("long")).where((F.col("bin") >= 1) & (F.col("bin") <= lags))
+    dx, dy = F.col("x_2") - F.col("x"), F.col("y_2") - F.col("y")
+    fits = [F.lit("omni")]
+    for name, azimuth in DIRECTIONS.items():
+        east, north = float(np.sin(np.radians(azimuth))), float(np.cos(np.radians(azimuth)))
+        along, across = F.abs(dx * east + dy * north), F.abs(dx * north - dy * east)
+        near = F.col("distance") > 0
+        near &= along >= F.col("distance") * float(np.cos(np.radians(tolerance)))
+        fits.append(F.when(near if bandwidth is None else near & (across <= bandwidth), F.lit(name)))
+    held = F.explode(F.filter(F.array(*fits), lambda d: d.isNotNull())).alias("direction")
+    return _gammas(met.select("bin", "value", "value_2", held), ["direction", "bin"])
+
+
+def neighbour_summary(neighbours: DataFrame, least_holes: int) -> DataFrame:
+    """(target, samples, holes, scale): median neighbour distance of targets whose neighbours come from enough holes."""
+    met = neighbours.groupBy("target").agg(F.count("*").alias("samples"), F.countDistinct("hole").alias("holes"), F.percentile("distance", 0.5).alias("scale"))
+    return met.where(F.col("holes") >= least_holes)
+
+
+def other_hole_pairs(points: DataFrame, radius: float) -> DataFrame:
+    """(target, hole, id, distance, value): observations within `radius` of each point that are of other holes."""
+    met = cell_pairs(points.select("id", "x", "y", F.col("hole").alias("own_hole")), points, radius)
+    rows = met.join(points.select(F.col("id").alias("id_2"), "hole", "value"), "id_2").where("id <> id_2 AND hole <> own_hole")
+    return rows.select(F.col("id").alias("target"), "hole", F.col("id_2").alias("id"), F.round("distance", 9).alias("distance"), "value")
 
 
 def _spherical(h: np.ndarray, sill: float, reach: float, nugget: float) -> np.ndarray:
@@ -96,48 +146,92 @@ def _spherical(h: np.ndarray, sill: float, reach: float, nugget: float) -> np.nd
     return np.where(h == 0, sill + nugget, sill * (1 - 1.5 * r + 0.5 * r**3))
 
 
-def ordinary_kriging(neighbours: DataFrame, sill: float, reach: float, nugget: float) -> DataFrame:
-    """(target, estimate, variance, status) from neighbours (target, tx, ty, x, y, value): one dense system a target.
+#: Columns of the drift at a point, relative to the target: none, the mean, the mean and a plane.
+DRIFT = {"simple": 0, "ordinary": 1, "universal": 3}
 
-    Singular systems are reported as failed, never replaced by another method.
-    """
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        n = len(group)
-        xy, goal = group[["x", "y"]].to_numpy(), group[["tx", "ty"]].to_numpy()[0]
-        system = np.ones((n + 1, n + 1))
-        system[n, n] = 0
-        system[:n, :n] = _spherical(np.linalg.norm(xy[:, None] - xy[None], axis=2), sill, reach, nugget)
-        right = np.append(_spherical(np.linalg.norm(xy - goal, axis=1), sill, reach, nugget), 1)
-        target = int(group["target"].iloc[0])
-        if np.linalg.cond(system) > 1e12:
-            return pd.DataFrame([(target, None, None, "failed")], columns=["target", "estimate", "variance", "status"])
-        weight = np.linalg.solve(system, right)
-        return pd.DataFrame([(target, float(weight[:n] @ group["value"].to_numpy()), float(sill + nugget - weight @ right), "estimated")], columns=["target", "estimate", "variance", "status"])
+def _solved(xy: np.ndarray, goal: np.ndarray, value: np.ndarray, kind: str, sill: float, reach: float, nugget: float, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(estimate, variance, failed) of systems of one size: xy (g, n, 2), goal (g, 2), value (g, n)."""
+    g, n = value.shape
+    k = DRIFT[kind]
+    system, right = np.zeros((g, n + k, n + k)), np.zeros((g, n + k))
+    system[:, :n, :n] = _spherical(np.linalg.norm(xy[:, :, None] - xy[:, None], axis=3), sill, reach, nugget)
+    right[:, :n] = _spherical(np.linalg.norm(xy - goal[:, None], axis=2), sill, reach, nugget)
+    drift = np.concatenate([np.ones((g, n, 1)), (xy - goal[:, None]) / reach], axis=2)[:, :, :k]
+    system[:, :n, n:], system[:, n:, :n] = drift, drift.transpose(0, 2, 1)
+    right[:, n : n + min(k, 1)] = 1
+    failed = (np.linalg.cond(system) > 1e12) | (n < k)
+    system[failed] = np.eye(n + k)
+    weight = np.linalg.solve(system, right[..., None])[..., 0]
+    shift = mean if kind == "simple" else 0.0
+    return shift + (weight[:, :n] * (value - shift)).sum(1), sill + nugget - (weight * right).sum(1), failed
 
-    return neighbours.groupBy("target").applyInPandas(solve, "target long, estimate double, variance double, status string")
 
+def kriging(neighbours: DataFrame, sill: float, reach: float, nugget: float, kind: str = "ordinary", mean: float = 0.0) -> DataFrame:
+    """(target, estimate, variance, status) from neighbours (target, tx, ty, id, x, y, value), a capped few a target.
 
-def grid_components(cells: DataFrame) -> DataFrame:
-    """(realization, category, cluster, cells): 6-connected components of each category grid (realization, category, i, j, k)."""
+    A target's neighbours become one row of arrays, and systems of one size are solved together. Singular systems are
+    reported as failed, never replaced by another method.
+    """
+    rows = neighbours.groupBy("target").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.array_sort(F.collect_list(F.struct("id", "x", "y", "value"))).alias("near"))
+
+    def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            near = batch.column("near")
+            size = near.value_lengths().to_numpy()
+            start = near.offsets.to_numpy()[:-1]
+            flat = near.values
+            x, y, value = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "value"))
+            goal = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tx", "ty")], 1)
+            estimate, variance, failed = np.zeros(len(size)), np.zeros(len(size)), np.zeros(len(size), bool)
+            for n in np.unique(size).tolist():
+                group = np.flatnonzero(size == n)
+                at = start[group][:, None] + np.arange(n)
+                estimate[group], variance[group], failed[group] = _solved(np.stack([x[at], y[at]], 2), goal[group], value[at], kind, sill, reach, nugget, mean)
+            status = np.where(failed, "failed", "estimated")
+            yield pa.RecordBatch.from_arrays([batch.column("target").cast(pa.int64()), pa.array(estimate, mask=failed), pa.array(variance, mask=failed), pa.array(status)], names=["target", "estimate", "variance", "status"])
+
+    return rows.mapInArrow(solve, "target long, estimate double, variance double, status string")
 
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        at = {c: i for i, c in enumerate(zip(group["i"], group["j"], group["k"]))}
-        parent = list(range(len(at)))
 
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+def ordinary_kriging(neighbours: DataFrame, sill: float, reach: float, nugget: float) -> DataFrame:
+    """Kriging with an unknown constant mean."""
+    return kriging(neighbours, sill, reach, nugget)
 
-        for (i, j, k), me in at.items():
-            for near in ((i + 1, j, k), (i, j + 1, k), (i, j, k + 1)):
-                if near in at:
-                    a, b = root(me), root(at[near])
-                    parent[max(a, b)] = min(a, b)
-        sizes = pd.Series([root(i) for i in range(len(at))]).value_counts().to_numpy()
-        return pd.DataFrame({"realization": group["realization"].iloc[0], "category": group["category"].iloc[0], "cluster": np.arange(len(sizes)), "cells": sizes})
 
-    return cells.dropDuplicates(["realization", "category", "i", "j", "k"]).groupBy("realization", "category").applyInPandas(label, "realization long, category string, cluster long, cells long")
+def labelled_cells(cells: DataFrame) -> DataFrame:
+    """(realization, category, node, label) of cells (realization, category, i, j, k): the least cell of the 6-connected component of each cell.
 
+    Neighbours meet by equi-joins along each axis. Every round takes the least label around a cell and the label of that
+    label, until none changes; no grid is gathered in one task.
+    """
+    keys = ["realization", "category"]
+    nodes = written(cells.select(*keys, F.struct("i", "j", "k").alias("node")).distinct())
+    steps = [nodes.select(*keys, F.col("node").alias("a"), F.struct(*((F.col(f"node.{c}") + (1 if c == axis else 0)).cast(nodes.schema["node"].dataType[c].dataType).alias(c) for c in "ijk")).alias("node")) for axis in "ijk"]
+    ahead = reduce(DataFrame.union, (s.join(nodes, [*keys, "node"]).select(*keys, "a", F.col("node").alias("b")) for s in steps))
+    edges = written(ahead.union(ahead.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = nodes.withColumn("label", F.col("node"))
+    while True:
+        near = edges.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = written(labels.join(near, [*keys, "node"], "left").select(*keys, "node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
+        far = lower.select(*keys, F.col("node").alias("label"), F.col("label").alias("far"))
+        moved = written(lower.join(far, [*keys, "label"], "left").select(*keys, "node", F.least("label", "far").alias("label"), "was"))
+        labels = moved.drop("was")
+        if moved.where("label <> was").isEmpty():
+            return labels
+
+
+def grid_components(cells: DataFrame) -> DataFrame:
+    """(realization, category, cluster, cells): sizes of the 6-connected components of each category grid, the largest first."""
+    sizes = labelled_cells(cells).groupBy("realization", "category", "label").agg(F.count("*").alias("cells"))
+    w = Window.partitionBy("realization", "category").orderBy(F.desc("cells"), "label")
+    return sizes.select("realization", "category", (F.row_number().over(w) - 1).cast("long").alias("cluster"), "cells")
+
+
+def hole_connections(labels: DataFrame, hole_cells: DataFrame) -> DataFrame:
+    """(category, hole, hole_2, share): of all realizations, those in which cells (hole, node) of two holes meet in one component of labelled cells."""
+    realizations = labels.select("realization").distinct().count()
+    own = labels.join(hole_cells, "node").select("realization", "category", "label", "hole").distinct()
+    other = own.withColumnRenamed("hole", "hole_2")
+    met = own.join(other, ["realization", "category", "label"]).where("hole < hole_2").select("realization", "category", "hole", "hole_2").distinct()
+    return met.groupBy("category", "hole", "hole_2").agg((F.count("*") / F.lit(max(1, realizations))).alias("share"))
