@@ -97,5 +97,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Shingle sets, their classes by equal sets, links of classes and components by reachability.
+SIMILAR = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(l, i, i + 4), ' ') AS shingle FROM w, unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS t(i) WHERE len(l) > 0),
+sized AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, '|' ORDER BY shingle)) AS class FROM s GROUP BY 1),
+reps AS (SELECT class, min(doc_id) AS doc_id, any_value(n) AS n FROM sized GROUP BY 1),
+r AS (SELECT doc_id, shingle FROM s SEMI JOIN reps USING (doc_id)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM r a JOIN r b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT x, y FROM met JOIN reps p ON p.doc_id = x JOIN reps q ON q.doc_id = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach AS (SELECT doc_id AS o, doc_id AS n FROM reps UNION SELECT reach.o, e.y FROM reach JOIN edges e ON e.x = reach.n),
+least AS (SELECT n, min(o) AS component FROM reach GROUP BY 1),
+degree AS (SELECT x, count(*) AS links FROM edges GROUP BY 1)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(links, 0) AS n_links FROM documents d LEFT JOIN sized z ON z.doc_id = d.doc_id LEFT JOIN reps ON reps.class = z.class
+LEFT JOIN least ON least.n = reps.doc_id LEFT JOIN degree ON degree.x = reps.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard_join": SIMILAR}
