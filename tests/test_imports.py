@@ -128,3 +128,29 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "realization long, category string, i long, j long, k long")
     assert spatial.grid_components(none).count() == 0
     assert spatial.kriging(spark.createDataFrame([], "target long, tx double, ty double, id long, x double, y double, value double"), 1.0, 1.0, 0.0).count() == 0
+
+
+def test_orientation_and_rising_fit(spark):
+    from stratalake.operators import calibration as C, summaries as S
+
+    rng = np.random.default_rng(6)
+    planes = [("a", float(d), float(a)) for d, a in zip(rng.uniform(30, 40, 50), rng.uniform(80, 100, 50))] + [("b", 45.0, 90.0), ("b", 45.0, 270.0)]
+    table = spark.createDataFrame(planes, "group string, dip double, dip_direction double")
+    found = {r.group: r for r in S.principal_orientation(S.orientation_tensor(table, ["group"])).collect()}
+    for name, r in found.items():
+        d, a = np.radians(np.array([p[1:] for p in planes if p[0] == name])).T
+        normals = np.stack([np.sin(d) * np.sin(a), np.sin(d) * np.cos(a), np.cos(d)], 1)
+        assert np.allclose([r.first, r.second, r.third], np.linalg.eigvalsh(normals.T @ normals / len(normals))[::-1], atol=1e-9)
+    assert found["a"].defined and not found["b"].defined  # 45 degrees to 090 and to 270 give no orientation
+    x = rng.integers(0, 12, 60).astype(float)
+    y = x / 4 + rng.normal(size=60)
+    rows = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y)], "key string, x double, y double")
+    fit = {r.x: r.fitted for r in S.isotonic(rows, ["key"]).collect()}
+    at = sorted(fit)
+    mean, weight = np.array([y[x == v].mean() for v in at]), np.array([(x == v).sum() for v in at])
+    best = [max(min(np.average(mean[i : j + 1], weights=weight[i : j + 1]) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]  # the minimax form of the fit
+    assert np.allclose([fit[v] for v in at], best)
+    points = S.isotonic(rows, ["key"]).select("key", "x", "fitted")
+    values = spark.createDataFrame([("k", i, v) for i, v in enumerate([-1.0, 0.25, 3.0, 50.0])] + [("other", 9, 1.0)], "key string, id long, x double")
+    got = {r.id: r.estimate for r in C.interpolated(values, points, ["key"]).collect()}
+    assert got[9] is None and np.allclose([got[i] for i in range(4)], np.interp([-1.0, 0.25, 3.0, 50.0], at, [fit[v] for v in at]))
