@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalake.functions.parsing import wendland
+from stratalake.operators.ranks import beside, quantiles
 from stratalake.operators.scores import fair_crps
 
 
@@ -61,7 +62,11 @@ def stopping(history: DataFrame, patience: int) -> DataFrame:
 
 def value_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(n, low, middle, high, mean) of a nullable column; keys without values have n = 0."""
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.percentile(value, 0.5).alias("middle"), F.max(value).alias("high"), F.avg(value).alias("mean"))
+    sums = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))
+    # keys without values are kept: the sums meet their medians as rows of one table
+    middle = quantiles(rows, keys, value, {"middle": 0.5})
+    none = sums.where("n = 0").select(*keys, F.lit(None).cast("double").alias("middle"))
+    return beside(sums, middle.unionByName(none), keys).select(*keys, "n", "low", "middle", "high", "mean")
 
 
 def registration(rows: DataFrame, least: float) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratalake.operators.ranks import ranked_values
 from stratalake.operators.spatial import cell_pairs
 
 
@@ -74,12 +75,22 @@ def nearest_other(points: DataFrame, first_radius: float) -> DataFrame:
 
 
 def outermost(points: DataFrame, share: float) -> DataFrame:
-    """The share of points (rounded up) farthest from their centre, by falling distance and id."""
+    """The share of points (rounded up) farthest from their centre, by falling distance and id; rows of one id stay together.
+
+    The last distance and id that belong to it are found from counts, so that the points themselves are only filtered.
+    """
     centre = points.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count("*").alias("n")).first()
     if not centre["n"]:
         return points.withColumn("distance", F.lit(0.0))
     away = F.sqrt(F.pow(F.col("x") - centre["cx"], 2) + F.pow(F.col("y") - centre["cy"], 2))
-    return points.withColumn("distance", F.round(away, 9)).orderBy(F.desc("distance"), "id").limit(-int(-share * centre["n"] // 1))
+    placed, wanted = points.withColumn("distance", F.round(away, 9)), -int(-share * centre["n"] // 1)
+    nth = lambda table, rank: table.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).first()
+    edge = nth(ranked_values(placed.withColumn("nearness", -F.col("distance")), [], "nearness"), wanted)
+    if edge is None:
+        return placed.where("false")
+    tied = placed.where(F.col("distance") == -edge["value"])
+    last = nth(ranked_values(tied, [], "id"), wanted - edge["upto"] + edge["n"])
+    return placed.where((F.col("distance") > -edge["value"]) | ((F.col("distance") == -edge["value"]) & (F.col("id") <= last["value"])))
 
 
 def margin_split(points: DataFrame, share: float, buffer: float) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from stratalake.operators.ranks import beside, quantiles, ranked_values
 
 
 def error_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
     """n, holes, bias, MAE, RMSE and absolute-error quantiles of (truth, estimate, hole) rows."""
-    e = F.col("estimate") - F.col("truth")
-    return rows.where("truth IS NOT NULL AND estimate IS NOT NULL").groupBy(*keys).agg(
-        F.count("*").alias("n"), F.countDistinct("hole").alias("holes"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.percentile(F.abs(e), 0.5).alias("p50"), F.percentile(F.abs(e), 0.9).alias("p90"),
+    known = rows.where("truth IS NOT NULL AND estimate IS NOT NULL").withColumn("error", F.col("estimate") - F.col("truth")).withColumn("miss", F.abs("error"))
+    sums = known.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.countDistinct("hole").alias("holes"), F.avg("error").alias("bias"), F.avg("miss").alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")
     )
+    return beside(sums, quantiles(known, keys, "miss", {"p50": 0.5, "p90": 0.9}), keys)
 
 
 def fair_crps(truth: Column, members: Column) -> Column:
@@ -33,15 +35,12 @@ def log_score(probability: Column, outcome: Column, floor: float = 1e-3) -> Colu
 
 
 def quantile_higher(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """The value at the next whole rank from q, by a window rather than a gathered list."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("at", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("at") == F.ceil(q * (F.col("n") - 1))).select(*keys, F.col(value).alias("quantile"))
+    """The value at the next whole rank from q."""
+    return quantiles(rows, keys, value, {"quantile": q}, higher=True)
 
 
 def weighted_deciles(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """(keys, decile, value): the first value whose share of cumulated weight reaches each tenth."""
-    w = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    share = F.sum(weight).over(w) / F.sum(weight).over(Window.partitionBy(*keys))
-    tenths = rows.withColumn("share", share).withColumn("decile", F.explode(F.sequence(F.lit(1), F.lit(9))))
-    return tenths.where(F.col("share") * 10 >= F.col("decile")).groupBy(*keys, "decile").agg(F.min(value).alias("value"))
+    share = F.col("upto") / F.col("total")
+    reached = F.filter(F.array(*map(F.lit, range(1, 10))), lambda d: share * 10 >= d)
+    return ranked_values(rows, keys, value, F.col(weight)).select(*keys, F.explode(reached).alias("decile"), "value").groupBy(*keys, "decile").agg(F.min("value").alias("value"))

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratalake.operators.ranks import quantiles
+
 
 def standardized(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """`z` by the mean and population deviation of each group; a constant group has z 0 and is flagged."""
@@ -19,7 +21,7 @@ def standardized(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def robust_asinh(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """`scaled`: asinh((x - median) / IQR) by group; groups without a spread are left out."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).select(*keys, F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    q = quantiles(rows, keys, value, {"low": 0.25, "median": 0.5, "high": 0.75}).select(*keys, "median", (F.col("high") - F.col("low")).alias("iqr"))
     return rows.join(q.where("iqr > 0"), keys).withColumn("scaled", F.asinh((F.col(value) - F.col("median")) / F.col("iqr"))).drop("median", "iqr")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stratalake.operators import geometry, scores, spatial
+from stratalake.operators import geometry, ranks, scores, spatial
 
 from .views import SAMPLES, SITES, STATIONS, read, samples, sites, stations
 
@@ -54,7 +54,7 @@ QUERIES = {
     "a19_error_scores": lambda s, d: scores.error_scores(estimates(s, d), ["method"]).select("method", "n", "holes", *(F.round(c, 6).alias(c) for c in ("bias", "mae", "rmse", "p50", "p90"))),
     "a21_fair_crps": lambda s, d: forecasts(s, d).select("vec_id", F.round(scores.fair_crps(F.col("truth"), F.col("members")), 6).alias("crps")),
     "a23_brier": lambda s, d: read(s, d, "labels").select(scores.brier(F.lit(0.7), F.col("quality")).alias("b"), scores.log_score(F.lit(0.7), F.col("quality")).alias("l")).agg(F.round(F.avg("b"), 9).alias("brier"), F.round(F.avg("l"), 9).alias("log_score")),
-    "a25_quantiles": lambda s, d: samples(s, d).groupBy("analyte").agg(*(F.round(F.percentile("value", q), 4).alias(f"p{round(q * 100)}") for q in (0.1, 0.25, 0.5, 0.75, 0.9))),
+    "a25_quantiles": lambda s, d: ranks.quantiles(samples(s, d), ["analyte"], "value", {f"p{round(q * 100)}": q for q in (0.1, 0.25, 0.5, 0.75, 0.9)}).select("analyte", *(F.round(f"p{q}", 4).alias(f"p{q}") for q in (10, 25, 50, 75, 90))),
     "a26_quantile_higher": lambda s, d: scores.quantile_higher(read(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9),
     "a43_weighted_deciles": lambda s, d: scores.weighted_deciles(read(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity"),
     "t1_minimum_curvature": lambda s, d: geometry.minimum_curvature(stations(s, d)).select("hole", "md", *(F.round(c, 5).alias(c) for c in ("dogleg", "x", "y", "z"))),
