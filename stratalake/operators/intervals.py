@@ -87,3 +87,10 @@ def category_shares(targets: DataFrame, logs: DataFrame) -> DataFrame:
     met = sound(targets).join(pieces, "hole").where((F.col("lo") < F.col("to_md")) & (F.col("hi") > F.col("from_md")))
     total = met.groupBy("hole", "sample", "from_md", "to_md", "label").agg(F.sum(part).alias("length"))
     return total.select("hole", "sample", "label", "length", (F.col("length") / (F.col("to_md") - F.col("from_md"))).alias("share"))
+
+
+def target_coverage(targets: DataFrame, logs: DataFrame) -> DataFrame:
+    """(hole, sample, covered, coverage): logged length and share of every target interval, 0 where no log meets it."""
+    logged = category_shares(targets, logs).groupBy("hole", "sample").agg(F.sum("length").alias("met"))
+    covered = F.coalesce("met", F.lit(0.0))
+    return sound(targets).join(logged, ["hole", "sample"], "left").select("hole", "sample", covered.alias("covered"), (covered / (F.col("to_md") - F.col("from_md"))).alias("coverage"))

@@ -136,3 +136,22 @@ def scenario_states(registry: DataFrame, metrics: DataFrame, keys: list[str]) ->
     """Every registered scenario with its state: verified, computed (not verified yet) or missing."""
     known = metrics.groupBy(*keys).agg(F.max(F.col("verified").cast("int")).alias("verified"))
     return registry.join(known, keys, "left").withColumn("state", F.when(F.col("verified") == 1, "verified").when(F.col("verified") == 0, "computed").otherwise("missing")).drop("verified")
+
+
+def permutation_cut(ids: DataFrame, shares: dict[str, float], seed: str) -> DataFrame:
+    """(id, split): distinct ids in the order of a seeded hash, cut into shares whose sizes are rounded by the largest remainder.
+
+    Ties of remainders go to the share named first. Ranks come from counts over stretches, so no task holds all ids.
+    """
+    hashed = ids.select("id").where("id IS NOT NULL").distinct().withColumn("at", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long"))
+    n = hashed.count()
+    exact = {name: n * share / sum(shares.values()) for name, share in shares.items()}
+    sizes = {name: int(x) for name, x in exact.items()}
+    for name in sorted(exact, key=lambda k: sizes[k] - exact[k])[: n - sum(sizes.values())]:
+        sizes[name] += 1
+    split, end = F, 0
+    for name, size in sizes.items():
+        end += size
+        split = split.when(F.col("upto") <= end, name)
+    ranked = ranked_values(hashed, [], "at").select(F.col("value").alias("at"), "upto")
+    return hashed.join(ranked, "at").select("id", split.alias("split"))
