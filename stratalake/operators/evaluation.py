@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalake.functions.parsing import wendland
 from stratalake.operators.ranks import beside, quantiles
-from stratalake.operators.scores import fair_crps
+from stratalake.operators.scores import brier, error_scores, fair_crps, log_score
 
 
 def weighted_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,3 +117,27 @@ def reconstruction_score(columns: list[str], means: np.ndarray, axes: np.ndarray
     weights = [sum((x * float(a) for x, a in zip(centred, axis)), F.lit(0.0)) for axis in axes]
     residuals = [x - sum((w * float(axis[i]) for w, axis in zip(weights, axes)), F.lit(0.0)) for i, x in enumerate(centred)]
     return sum((r * r for r in residuals), F.lit(0.0)) / len(columns)
+
+
+def evaluation_table(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, value): all scores of continuous estimates (truth, estimate, length, hole) as one long table; metrics without a value are left out."""
+    plain = error_scores(rows, keys)
+    weighted = weighted_scores(rows, keys).select(*keys, *(F.col(c).alias(f"weighted_{c}") for c in ("bias", "mae", "rmse")), "hole_rmse")
+    wide = beside(plain, weighted, keys)
+    metrics = [c for c in wide.columns if c not in keys]
+    return wide.select(*keys, *(F.col(c).cast("double").alias(c) for c in metrics)).unpivot(keys, metrics, "metric", "value").where("value IS NOT NULL")
+
+
+def categorical_evaluation(rows: DataFrame) -> DataFrame:
+    """(category, n, brier, log_score, reference, skill, hits) of chances (target, category, probability, truth).
+
+    Hits are the targets whose likeliest category (ties to the first name) is this one and true. The reference always
+    gives the category's own share.
+    """
+    known = rows.where("probability IS NOT NULL AND truth IS NOT NULL").withColumn("outcome", (F.col("category") == F.col("truth")).cast("double"))
+    best = known.groupBy("target").agg(F.min(F.struct((-F.col("probability")).alias("p"), "category", "outcome")).alias("best"))
+    hits = best.groupBy(F.col("best.category").alias("category")).agg(F.sum("best.outcome").cast("long").alias("hits"))
+    p, o = F.col("probability"), F.col("outcome")
+    each = known.groupBy("category").agg(F.count("*").alias("n"), F.avg(brier(p, o)).alias("brier"), F.avg(log_score(p, o)).alias("log_score"), (F.avg(o) * (1 - F.avg(o))).alias("reference"))
+    skill = F.when(F.col("reference") > 0, 1 - F.col("brier") / F.col("reference"))
+    return each.join(hits, "category", "left").select("category", "n", "brier", "log_score", "reference", skill.alias("skill"), F.coalesce("hits", F.lit(0)).alias("hits"))

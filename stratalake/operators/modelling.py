@@ -196,3 +196,61 @@ def bootstrap_difference(rows: DataFrame, replicates: int = 1000, seed: int = 0,
 
     sums = dealt.groupBy("block").applyInPandas(draw, "replicate int, s double, n double")
     return sums.groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("difference"))
+
+
+def cokriging(neighbours: DataFrame, structures: list[tuple[str, float, list[list[float]]]], nugget: list[list[float]]) -> DataFrame:
+    """(target, estimate, variance, primary, status) of variable 0 from neighbours (target, tx, ty, id, x, y, value, variable), a capped few a target.
+
+    `structures` hold (family, range, sills by variables). Weights of variable 0 sum to 1, those of each other variable to
+    0. Targets of one pattern of variables are solved together; one without variable 0 or with a singular system failed.
+    """
+    steps, noise = [(f, reach, np.array(b, float)) for f, reach, b in structures], np.array(nugget, float)
+    rows = neighbours.groupBy("target").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.array_sort(F.collect_list(F.struct("variable", "id", "x", "y", "value"))).alias("near"))
+
+    def covariance(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum((m[a, b] * (1 - FAMILIES[f](d / reach)) for f, reach, m in steps), noise[a, b] * (d == 0))
+
+    def solved(xy: np.ndarray, goal: np.ndarray, value: np.ndarray, variable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        g, n = value.shape
+        kinds = np.unique(variable)
+        k, zero = len(kinds), np.zeros_like(variable)
+        system, right = np.zeros((g, n + k, n + k)), np.zeros((g, n + k))
+        system[:, :n, :n] = covariance(np.linalg.norm(xy[:, :, None] - xy[:, None], axis=3), variable[:, None], variable[None])
+        system[:, :n, n:] = variable[:, None] == kinds
+        system[:, n:, :n] = (variable[:, None] == kinds).T
+        right[:, :n] = covariance(np.linalg.norm(xy - goal[:, None], axis=2), variable, zero)
+        right[:, n:] = kinds == 0
+        failed = (np.linalg.cond(system) > 1e12) | (0 not in kinds)
+        system[failed] = np.eye(n + k)
+        weight = np.linalg.solve(system, right[..., None])[..., 0]
+        top = sum(m[0, 0] for _, _, m in steps) + noise[0, 0]
+        return (weight[:, :n] * value).sum(1), top - (weight * right).sum(1), failed
+
+    def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            near, goal = batch.column("near").to_pylist(), np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("tx", "ty")], 1)
+            patterns: dict[tuple, list[int]] = {}
+            for i, rows in enumerate(near):
+                patterns.setdefault(tuple(r["variable"] for r in rows), []).append(i)
+            estimate, variance, failed = np.zeros(len(near)), np.zeros(len(near)), np.zeros(len(near), bool)
+            for pattern, group in patterns.items():
+                xy = np.array([[(r["x"], r["y"]) for r in near[i]] for i in group], float)
+                value = np.array([[r["value"] for r in near[i]] for i in group], float)
+                estimate[group], variance[group], failed[group] = solved(xy, goal[group], value, np.array(pattern))
+            primary = [sum(r["variable"] == 0 for r in rows) for rows in near]
+            columns = [batch.column("target").cast(pa.int64()), pa.array(estimate, mask=failed), pa.array(variance, mask=failed), pa.array(primary, pa.int32()), pa.array(np.where(failed, "failed", "estimated"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["target", "estimate", "variance", "primary", "status"])
+
+    return rows.mapInArrow(solve, "target long, estimate double, variance double, primary int, status string")
+
+
+def variants(targets: DataFrame, observations: DataFrame, plans: dict[str, dict], first_radius: float, model: tuple[float, float, float]) -> DataFrame:
+    """(variant, target, samples, estimate, variance, status) of each plan: per_hole, most, and `every`, which keeps observations whose id it divides."""
+    found = None
+    for name, plan in plans.items():  # a declared few
+        kept = observations.where(F.pmod(F.col("id"), F.lit(plan.get("every", 1))) == 0)
+        near = neighbourhoods(targets, kept, plan["per_hole"], plan["most"], first_radius)
+        held = near.groupBy("target").agg(F.count("*").alias("samples"))
+        one = kriging(near, *model).join(held, "target").select(F.lit(name).alias("variant"), "target", "samples", "estimate", "variance", "status")
+        found = one if found is None else found.unionByName(one)
+    return found

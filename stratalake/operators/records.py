@@ -123,3 +123,11 @@ def chain_faults(reads: DataFrame, outputs: DataFrame) -> DataFrame:
     """(stage, source, fault): stages (stage, source, digest) that read a table (source, digest) which is absent or has changed since."""
     met = reads.join(outputs.select("source", F.col("digest").alias("now"), F.lit(True).alias("held")), "source", "left")
     return met.select("stage", "source", F.when(F.col("held").isNull(), "absent").when(~F.col("digest").eqNullSafe(F.col("now")), "changed").alias("fault")).where("fault IS NOT NULL")
+
+
+def dependent_counts(holes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(hole, a column of counts for each role): records of every hole in tables with a column `hole`, 0 where there is none."""
+    found = holes.select("hole").distinct()
+    for role, table in tables.items():  # a declared few
+        found = found.join(table.groupBy("hole").agg(F.count("*").alias(role)), "hole", "left")
+    return found.select("hole", *(F.coalesce(role, F.lit(0)).alias(role) for role in tables))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stratalake.operators import modelling as M, ranks, spatial
+from stratalake.operators import evaluation, modelling as M, ranks, records, spatial
 
 from .numbers import ALL
 from .views import SITES, read, sites
@@ -57,7 +57,33 @@ def interval(s, d):
     return found.agg(F.count("*").alias("replicates"), F.avg("difference").alias("mean"), F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"))
 
 
+def scored_estimates(s, d):
+    return read(s, d, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_orderkey").alias("hole"), F.col("l_quantity").alias("truth"), (F.col("l_linenumber") * 8.0).alias("estimate"), (F.col("l_linenumber") - 1.0).alias("length"))
+
+
+def chances(s, d):
+    """Three categories a line, with chances by its line number."""
+    flags = ["A", "N", "R"]
+    p = [F.lit(0.2), F.col("l_linenumber") / 10.0, F.lit(0.8) - F.col("l_linenumber") / 10.0]
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("category"), x.alias("probability")) for f, x in zip(flags, p)))).alias("x")
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return read(s, d, "lineitem").select(line.alias("target"), F.col("l_returnflag").alias("truth"), each).select("target", "truth", "x.category", "x.probability")
+
+
+def pairs_of_variables(s, d):
+    """Neighbours of every site: its capped neighbours' values as variable 0, a second variable at the same places."""
+    a = near(s, d).select("target", "tx", "ty", "id", "x", "y", (F.col("value") / 1000).alias("value"))
+    return a.withColumn("variable", F.lit(0)).unionByName(a.where("id % 2 = 0").withColumn("value", F.pmod(F.col("id") * 37, F.lit(101)) / 10.0).withColumn("variable", F.lit(1)))
+
+
+PLANS = {"base": {"per_hole": 2, "most": 8}, "small": {"per_hole": 1, "most": 4}, "large": {"per_hole": 4, "most": 16}, "sparse": {"per_hole": 2, "most": 8, "every": 2}}
+
 QUERIES = {
+    "t9_cokriging": lambda s, d: M.cokriging(pairs_of_variables(s, d), [("spherical", 2000.0, [[6.0, 1.0], [1.0, 5.0]])], [[0.5, 0.1], [0.1, 0.5]]),
+    "t15_variants": lambda s, d: M.variants(sites(s, d), sites(s, d), PLANS, 1500.0, (1.0, 2000.0, 0.1)),
+    "t33_evaluation_table": lambda s, d: evaluation.evaluation_table(scored_estimates(s, d), ["method"]).withColumn("value", F.round("value", 6)),
+    "t34_categorical_evaluation": lambda s, d: evaluation.categorical_evaluation(chances(s, d)).select("category", "n", *(F.round(c, 9).alias(c) for c in ("brier", "log_score", "reference", "skill")), "hits"),
+    "g18_dependent_counts": lambda s, d: records.dependent_counts(read(s, d, "customer").select(F.col("c_custkey").alias("hole")), {"orders": read(s, d, "orders").select(F.col("o_custkey").alias("hole")), "events": read(s, d, "events").select(F.col("user_id").alias("hole"))}),
     "p23_normal_scores": scored,
     "g8_neighbour_diagnostics": lambda s, d: M.neighbour_diagnostics(near(s, d)),
     "t22_graph_edges": lambda s, d: M.graph_edges(near(s, d)).withColumn("weight", F.round("weight", 9)),
@@ -68,7 +94,20 @@ QUERIES = {
     "t13_universal_with_retry": lambda s, d: M.universal_with_retry(sites(s, d), sites(s, d), 1, 3, 1500.0, 1.0, 2000.0, 0.1),
     "a20_bootstrap_interval": interval,
 }
+EVALUATED = """WITH e AS (SELECT l_returnflag AS method, l_orderkey AS hole, l_linenumber * 8.0::DOUBLE - l_quantity AS e, CASE WHEN l_linenumber > 1 THEN l_linenumber - 1.0::DOUBLE ELSE 1 END AS w FROM lineitem),
+h AS (SELECT method, avg(r) AS r FROM (SELECT method, hole, sqrt(avg(e * e)) AS r FROM e GROUP BY ALL) GROUP BY 1),
+t AS (SELECT e.method, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT hole) AS DOUBLE) AS holes, avg(e) AS bias, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, quantile_cont(abs(e), 0.5) AS p50, quantile_cont(abs(e), 0.9) AS p90,
+  sum(w * e) / sum(w) AS weighted_bias, sum(w * abs(e)) / sum(w) AS weighted_mae, sqrt(sum(w * e * e) / sum(w)) AS weighted_rmse, any_value(h.r) AS hole_rmse FROM e JOIN h USING (method) GROUP BY 1)
+SELECT method, metric, round(value, 6) AS value FROM (UNPIVOT t ON COLUMNS(* EXCLUDE method) INTO NAME metric VALUE value)"""
+CHANCES = """WITH c AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS target, category, p, CASE WHEN l_returnflag = category THEN 1.0::DOUBLE ELSE 0 END AS o
+  FROM (SELECT *, unnest(['A', 'N', 'R']) AS category, unnest([0.2::DOUBLE, l_linenumber / 10.0::DOUBLE, 0.8::DOUBLE - l_linenumber / 10.0::DOUBLE]) AS p FROM lineitem)),
+b AS (SELECT category, sum(o) AS hits FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY p DESC, category, o) = 1) GROUP BY 1),
+g AS (SELECT category, count(*) AS n, avg((p - o) ** 2) AS brier, avg(-(o * ln(greatest(0.001, least(0.999, p))) + (1 - o) * ln(1 - greatest(0.001, least(0.999, p))))) AS log_score, avg(o) * (1 - avg(o)) AS reference FROM c GROUP BY 1)
+SELECT category, n, round(brier, 9) AS brier, round(log_score, 9) AS log_score, round(reference, 9) AS reference, round(1 - brier / reference, 9) AS skill, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM g LEFT JOIN b USING (category)"""
 ORACLES = {
+    "t33_evaluation_table": EVALUATED,
+    "t34_categorical_evaluation": CHANCES,
+    "g18_dependent_counts": "SELECT c_custkey AS hole, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM events WHERE user_id = c_custkey) AS events FROM customer",
     "p23_normal_scores": f"WITH c AS (SELECT l_returnflag, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT *, (sum(n) OVER (PARTITION BY l_returnflag ORDER BY value) - n / 2) / sum(n) OVER (PARTITION BY l_returnflag) AS p FROM c) SELECT l_returnflag, value, n, round({normal_sql('p')}, 6) AS score FROM p",
     "g8_neighbour_diagnostics": f"{ALL}, g AS (SELECT target, hole, count(*) AS n FROM near GROUP BY ALL) SELECT target, sum(n)::BIGINT AS samples, count(*) AS holes, max(n) AS from_one_hole FROM g GROUP BY 1",
     "t22_graph_edges": f"{ALL}, e AS (SELECT target AS a, id AS b FROM near UNION SELECT id, target FROM near UNION SELECT target, target FROM near UNION SELECT id, id FROM near), g AS (SELECT a, count(*) AS n FROM e GROUP BY 1) SELECT e.a, e.b, round(1 / sqrt(g.n * h.n), 9) AS weight FROM e JOIN g ON g.a = e.a JOIN g h ON h.a = e.b",

@@ -110,3 +110,31 @@ def test_surface_is_exact_at_collars(spark):
     assert {r.z for r in M.collar_surface(cells, collars.where("false")).collect()} == {None}
     with pytest.raises(ValueError, match="collars"):
         M.collar_surface(cells, collars, most=2)
+
+
+def test_cokriging_equals_one_dense_system(spark):
+    rng = np.random.default_rng(11)
+    xy, value, kind = rng.uniform(0, 100, (7, 2)), rng.normal(size=7), [0, 0, 0, 0, 1, 1, 1]
+    xy[4] = xy[0]
+    rows = [(t, 30.0 + t, 50.0, i, *map(float, xy[i]), float(value[i]), kind[i]) for t in (1, 2) for i in range(7)] + [(3, 1.0, 1.0, 5, *map(float, xy[5]), 1.0, 1)]
+    near = spark.createDataFrame(rows, "target long, tx double, ty double, id long, x double, y double, value double, variable int")
+    sill, nugget = np.array([[1.0, 0.6], [0.6, 0.9]]), np.array([[0.1, 0.0], [0.0, 0.2]])
+    found = {r.target: r for r in M.cokriging(near, [("exponential", 70.0, sill.tolist())], nugget.tolist()).collect()}
+    cov = lambda d, a, b: sill[a, b] * np.exp(-3 * d / 70) + nugget[a, b] * (d == 0)
+    for t in (1, 2):
+        goal, system, right = np.array([30.0 + t, 50.0]), np.zeros((9, 9)), np.zeros(9)
+        for i in range(7):
+            for j in range(7):
+                system[i, j] = cov(np.linalg.norm(xy[i] - xy[j]), kind[i], kind[j])
+            system[i, 7 + kind[i]] = system[7 + kind[i], i] = 1
+            right[i] = cov(np.linalg.norm(xy[i] - goal), kind[i], 0)
+        right[7] = 1
+        w = np.linalg.solve(system, right)
+        assert (found[t].estimate, found[t].variance) == pytest.approx((w[:7] @ value, 1.1 - w @ right)) and found[t].primary == 4
+    assert (found[3].status, found[3].estimate, found[3].primary) == ("failed", None, 0)
+
+
+def test_variants_differ_in_their_neighbours(spark):
+    points = spark.createDataFrame([(i, i % 5, float(i % 4) * 10, float(i // 4) * 10, float(i * i % 7)) for i in range(24)], "id long, hole long, x double, y double, value double")
+    found = M.variants(points, points, {"a": {"per_hole": 1, "most": 3}, "b": {"per_hole": 2, "most": 6, "every": 2}}, 10.0, (1.0, 30.0, 0.1)).collect()
+    assert {r.samples for r in found if r.variant == "a"} == {3} and {r.samples for r in found if r.variant == "b"} == {6} and len(found) == 48
