@@ -82,6 +82,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": op8_url_filters,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_html_extraction": op10_html_extraction,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
@@ -114,5 +121,24 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(component, d.doc_id) A
 LEFT JOIN least ON least.n = reps.doc_id LEFT JOIN degree ON degree.x = reps.doc_id"""
 
 
+#: CRC32 bit by bit, words as the contract rewrites them, equal words at every distance q, their stretches, and of equal stretches the least q.
+RUNS = """WITH RECURSIVE step AS (SELECT doc_id, 0 AS k, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents)
+UNION ALL SELECT doc_id, k + 1, CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END
+FROM (SELECT doc_id, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, k // 8 + 1, 1))::BIGINT) ELSE c END AS y FROM step WHERE k < 8 * length(doc_id::VARCHAR))),
+hashed AS (SELECT doc_id, xor(c, 4294967295) AS h FROM step WHERE k = 8 * length(doc_id::VARCHAR)),
+raw AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents JOIN hashed USING (doc_id)),
+cut AS (SELECT *, len(l) AS n, CASE WHEN h % 10 = 0 AND len(l) > 0 THEN g % len(l) ELSE len(l) END AS a FROM raw),
+w AS (SELECT doc_id, i, l[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS word, n FROM cut, unnest(range(n)) AS t(i)),
+met AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS grp FROM met) GROUP BY doc_id, q, grp HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DECIMAL(38, 18) / period DESC, start, period) AS place FROM runs),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY 1),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM w ANTI JOIN dropped USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN ranked r ON r.doc_id = d.doc_id AND place = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": SIMILAR}
+    return {"op2_ngram_jaccard_join": SIMILAR, "op11_periodic_runs": RUNS}
