@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, **options: str | int) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back, which cuts its lineage. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

@@ -88,6 +88,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .web_archive import capture_digests
+
+    return capture_digests(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -101,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_html_extraction": op10_html_extraction,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_warc": op12_warc,
     }
 
 
@@ -140,5 +147,14 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
 FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN ranked r ON r.doc_id = d.doc_id AND place = 1"""
 
 
+#: Payload digests, the newest page of equal payloads, and places by key of the url, time and page.
+CAPTURES = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN trim(coalesce(url, '')) = '' THEN 'about:blank' ELSE url END AS url FROM pages),
+k AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, (page_id % 4000000000) * 1000000 AS captured, strpos(url, '://') AS cut, url, split_part(substr(url, strpos(url, '://') + 3), '#', 1) AS rest FROM p),
+h AS (SELECT *, regexp_extract(rest, '^[^/?]*') AS host FROM k),
+u AS (SELECT *, CASE WHEN cut = 0 THEN ')' || url ELSE array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || substr(rest, length(host) + 1) END AS url_key, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS newest FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND newest > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND newest > page_id THEN newest END AS refers_to,
+url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) AS place FROM u"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": SIMILAR, "op11_periodic_runs": RUNS}
+    return {"op2_ngram_jaccard_join": SIMILAR, "op11_periodic_runs": RUNS, "op12_warc": CAPTURES}
