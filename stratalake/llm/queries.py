@@ -94,6 +94,12 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_digests(table(spark, sf_dir, "pages"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -108,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_extraction": op10_html_extraction,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_warc": op12_warc,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -156,5 +163,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) AS place FROM u"""
 
 
+#: All phrases of 1 to 4 words of pieces, candidates, their cuts, and candidates inside longer ones.
+PHRASES = f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS l FROM t),
+g AS (SELECT lang, m, array_to_string(list_slice(l, i, i + m - 1), ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, 5)) AS u(m), unnest(range(1, greatest(len(l) - m + 1, 0) + 1)) AS v(i) GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS l FROM g WHERE m > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.m, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score FROM c, unnest(range(1, c.m)) AS u(k)
+JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.l, 1, k), ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.l, k + 1, c.m), ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(list_slice(l, i, i + s - 1), ' ') AS phrase, max(f) AS top FROM c, unnest(range(2, c.m)) AS u(s), unnest(range(1, c.m - s + 2)) AS v(i) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE top IS NULL OR 100 * top < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept JOIN sizes USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": SIMILAR, "op11_periodic_runs": RUNS, "op12_warc": CAPTURES}
+    return {"op2_ngram_jaccard_join": SIMILAR, "op11_periodic_runs": RUNS, "op12_warc": CAPTURES, "op13_collocations": PHRASES}
