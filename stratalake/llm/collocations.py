@@ -41,7 +41,7 @@ LEAST, DEPTH, TOP = 30, 4, 2000
 BREAKS = "[.,;:!?\n-\r]"
 WORD_BITS, PAIR_BITS = 24, 26
 #: Texts of a slice in bytes, paths of a shard and of a block, words from one sampled path to the next, bytes of a bound.
-SLICE_BYTES, SHARD, BLOCK, SAMPLE, BOUND = 8 << 20, 2_000_000, 4096, 1024, 200
+SLICE_BYTES, SHARD, BLOCK, SAMPLE, BOUND = 4 << 20, 1_000_000, 4096, 1024, 200
 # Words hold no bytes 9 to 13, so bytes below 9 move up by one and 0 can stand between the words of a path.
 _UP, _DOWN = bytes([*range(1, 10), *range(9, 256)]), bytes([0, *range(0, 9), *range(10, 256)])
 
@@ -173,10 +173,10 @@ class Shard:
     def sorted_paths(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(words by their order, paths as ranks from 1 on, counts)."""
         words = sorted(self.known, key=lambda w: w.translate(_UP))
-        rank = np.zeros(len(words) + 1, np.int64)
+        rank = np.zeros(len(words) + 1, np.int32)
         rank[[self.known[w] for w in words]] = np.arange(1, len(words) + 1)
-        paths = rank[np.concatenate(self.paths, axis=1)]
-        high, low = paths[0] << 32 | paths[1], paths[2] << 32 | paths[3]
+        high, low = (np.concatenate([rank[p[k]].astype(np.int64) << 32 | rank[p[k + 1]] for p in self.paths]) for k in (0, 2))
+        self.paths.clear()
         order = np.lexsort((low, high))
         high, low = high[order], low[order]
         first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
