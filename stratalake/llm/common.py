@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of a slice of an Arrow batch, about; a single longer row is a slice of its own.
 SLICE = 4 << 20
@@ -43,6 +44,22 @@ def materialize(df: DataFrame, **options: str | int) -> DataFrame:
     return out
 
 
+def numbered_rows(df: DataFrame, *order: str) -> DataFrame:
+    """`df` as a written table, with a column number: the place of each row in the order of the columns `order`, from 0.
+
+    Rows are dealt by ranges of that order and counted range by range; the sums before each range are one row a range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    low = (1 << 33) - 1  # of monotonically_increasing_id: the place in the partition
+    placed = materialize(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(low).alias("_place")))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    out = placed.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_place")).alias("number"))
+    out.written_at = placed.written_at
+    return out
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete what `materialize` wrote, once all that is made from it is written too."""
     for df in tables:

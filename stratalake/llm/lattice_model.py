@@ -338,7 +338,8 @@ def score_texts(docs: DataFrame, vocabulary_path: str, languages: int = 6) -> Da
     spark = docs.sparkSession
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.cast("string").alias("lang"))
-    common = texts.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    training = F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT)
+    common = texts.where("lang IS NOT NULL").where(training).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     classes = sorted(row["lang"] for row in common)
     columns = [f"c{i}" for i in range(len(classes) + 1)]
     counts = materialize(word_counts(texts, classes))

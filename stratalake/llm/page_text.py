@@ -6,7 +6,9 @@ trained on labelled pages that this module authors from templates (`labelled_pag
 decoded by Viterbi; the blocks of the article are joined by line feeds.
 
 Null or empty html gives an empty text, and so does a page without article blocks. Character references are decoded
-once. An unfinished tag at the end is markup. What stands in a form is no article, whatever its labels. Repeated rows are extracted as rows of their own.
+once. An unfinished tag at the end is markup. A form that holds parts of a page (an article, a menu, a footer), or most of
+its words with few of them in labels and buttons, is the page's own frame and no sign against what stands in it. Repeated rows are extracted as
+rows of their own, an empty table gives none, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,15 +55,17 @@ WORDS = {
     "form": "form search login signup subscribe newsletter register contact",
 }
 WORD_KIND = {w: k for k, words in WORDS.items() for w in words.split()}
+#: Parts of a page that no form for entries holds.
+PAGE_PARTS = frozenset("article main nav header footer".split())
 LINKED, SIZED = (0.0, 0.3, 0.7), (2, 5, 12, 30, 80)
-FEATURES = ["one", *(f"in_{t}" for t in FEATURE_TAGS), *(f"on_{t}" for t in FEATURE_TAGS), *(f"word_{k}" for k in WORDS), *(f"linked_{x}" for x in LINKED), *(f"words_{x}" for x in SIZED), "stop_at_end", "copyright", "first", "last", "bare_header", "inside_article"]
+FEATURES = ["one", *(f"in_{t}" for t in FEATURE_TAGS), *(f"on_{t}" for t in FEATURE_TAGS), *(f"word_{k}" for k in WORDS), *(f"linked_{x}" for x in LINKED), *(f"words_{x}" for x in SIZED), "stop_at_end", "copyright", "first", "last", "bare_header", "inside_article", "page_form"]
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 
 
 class Open:
     """An open tag: what holds for all that it contains."""
 
-    __slots__ = ("above", "holder", "kinds", "name")
+    __slots__ = ("above", "form", "frames", "holder", "kinds", "name")
 
     def __init__(self, name: str, words: list[str], over: Open | None):
         self.name = name
@@ -72,14 +76,18 @@ class Open:
         if new := {WORD_KIND[w] for w in words if w in WORD_KIND} - self.kinds:
             self.kinds |= new
         self.holder = name if name in BLOCK_TAGS else over.holder if over else "body"
+        self.form = over.form if over and over.form else self if name == "form" else None  # the outermost one
+        self.frames = False
+        if self.form and name in PAGE_PARTS:
+            self.form.frames = True
 
 
 class Block:
-    __slots__ = ("above", "holder", "kinds", "linked", "text")
+    __slots__ = ("above", "form", "holder", "kinds", "linked", "text")
 
     def __init__(self, text: str, inner: Open | None, linked: float):
         self.text, self.linked = text, linked
-        self.above, self.kinds, self.holder = (inner.above, inner.kinds, inner.holder) if inner else (frozenset(), frozenset(), "body")
+        self.above, self.kinds, self.holder, self.form = (inner.above, inner.kinds, inner.holder, inner.form) if inner else (frozenset(), frozenset(), "body", None)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -176,11 +184,21 @@ def blocks_of(page: str) -> list[Block]:
 def feature_rows(blocks: list[Block]) -> list[list[int]]:
     """Indices of the features that hold, block by block."""
     out = []
+    words: Counter[Open | None] = Counter()
+    asked: Counter[Open | None] = Counter()
+    for b in blocks:
+        n = b.text.count(" ") + 1
+        words[b.form] += n
+        asked[b.form] += n * (b.holder in ("label", "button", "option"))
+    framing = {f for f, n in words.items() if f and (f.frames or 2 * n > words.total() and 4 * asked[f] < n)}
     for i, b in enumerate(blocks):
         found = [INDEX["one"]]
         above = b.above
-        found += [INDEX[f"in_{t}"] for t in FEATURE_TAGS if t in above]
-        if f"on_{b.holder}" in INDEX:
+        framed = b.form in framing
+        found += [INDEX[f"in_{t}"] for t in FEATURE_TAGS if t in above and not (framed and t == "form")]
+        if framed:
+            found.append(INDEX["page_form"])
+        if f"on_{b.holder}" in INDEX and not (framed and b.holder == "form"):
             found.append(INDEX[f"on_{b.holder}"])
         found += [INDEX[f"word_{kind}"] for kind in sorted(b.kinds)]
         found += [INDEX[f"linked_{x}"] for x in LINKED if b.linked > x]
@@ -288,6 +306,10 @@ def labelled_pages(count: int = PAGES, seed: int = 11) -> list[tuple[str, list[i
     def links(n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
 
+    def entry() -> tuple[str, list[int]]:
+        told = rng.choice(["<p>{}</p>", "<h3>{}</h3>", "<div>{}</div>", "<li>{}</li>", "{}"]).format(sentence(2, 25))
+        return f"<form>{told}<p>{words(1, 8)}</p><input><button>{words(1, 2)}</button></form>", [0, 0, 0]
+
     def article() -> list[tuple[str, list[int]]]:
         parts = [(f"<h1>{words(2, 12)}</h1>", [1])]
         if rng.random() < 0.2:
@@ -315,6 +337,8 @@ def labelled_pages(count: int = PAGES, seed: int = 11) -> list[tuple[str, list[i
                 parts.append((tag("aside", f"<p>{sentence(2, 20)}</p>", "", pick("side")), [0]))
             elif shape < 0.97:
                 parts.append((tag("div", f"<a href='/s'>{words(1, 2)}</a>", pick("social")), [0]))
+            elif shape < 0.985:
+                parts.append(entry())
             else:
                 parts.append((f"<pre>{sentence(3, 20)}</pre>", [1]))
         return parts
@@ -361,7 +385,11 @@ def labelled_pages(count: int = PAGES, seed: int = 11) -> list[tuple[str, list[i
         if rng.random() < 0.85:
             end = rng.choice(["&copy; ", "Copyright ", ""]) + sentence(2, 15)
             parts.append((f"<footer>{end}</footer>" if rng.random() < 0.7 else tag("div", f"<p>{end}</p>", pick("bottom")), [0]))
+        if rng.random() < 0.1:
+            parts.insert(rng.randint(0, len(parts)), entry())
         inner, labels = joined(parts)
+        if rng.random() < 0.12 and "<form" not in inner:
+            inner = f'<form method="post" action="/x" {rng.choice(["id", "class"])}="{rng.choice(["form1", "aspnetForm", "form", "page"])}"><input type="hidden">{inner}</form>'
         pages.append((f"<html><head><title>{words(1, 4)}</title></head><body>{inner}</body></html>", labels))
     return pages
 
@@ -383,7 +411,7 @@ def main_text(page: str | None, field: tuple[np.ndarray, np.ndarray]) -> str:
         return ""
     weights, moves = field
     labels = viterbi(emissions(weights, feature_rows(blocks)), moves)
-    return "\n".join(b.text for b, label in zip(blocks, labels) if label and "form" not in b.above)
+    return "\n".join(b.text for b, label in zip(blocks, labels) if label)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -6,16 +6,24 @@ position; the search takes the longest one whose neighbour on the left stays apa
 noting failed positions in a bit field. The result equals the merge procedure's, since a sequence of pieces is the
 merge result of a text if and only if that holds for each two neighbours.
 
+That is so where pieces differ from their own beginnings. In a run of one character every place of a piece looks like the
+next, and whether a pair joins depends on how many came before it: neighbours of the true result may then join when they
+are merged anew by themselves. Words with two marks or more before them, and words where the search finds no chain, are
+therefore merged by the procedure itself, from a heap of pairs, in n log n steps.
+
 No piece has a word-start mark after another character, or a letter beside a character that is none (both are checked
 when the model is read), so no merge crosses those places: texts are encoded in such words, and repeated words come from
 a bounded memory.
 
-Null text counts as empty; an empty text has no ids and decodes to the empty text.
+Null text counts as empty; an empty text has no ids and decodes to the empty text. Rows are encoded one by one: repeated
+rows and ids give as many rows, a null id stays null, an empty table gives none, other columns are not read. Among equal
+scores the leftmost pair merges first, as in the library. Remembered words are bounded by number and by characters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +39,8 @@ MARK = "▁"
 #: Marks and letters, marks and other characters, marks at the end.
 NUMERIC = "\\d_²³¹¼-¾⁰-₟⅐-↏"
 WORDS = re.compile(rf"{MARK}*[^\W{NUMERIC}]+|{MARK}*(?:[^\w{MARK}]|[{NUMERIC}])+|{MARK}+")
-#: Words kept in memory at a time, in each Python worker.
-MEMORY = 500_000
+#: Words kept in memory at a time, in each Python worker, and the characters of the longest one that is kept.
+MEMORY, KEPT = 500_000, 40
 
 
 def merged(symbols: list[str], scores: dict[str, float], whole: str | None = None) -> list[str]:
@@ -49,6 +57,28 @@ def merged(symbols: list[str], scores: dict[str, float], whole: str | None = Non
         symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
 
+def merged_run(word: str, rank: dict[str, int]) -> list[str]:
+    """What the merge procedure makes of a word: the pair of least rank first, ties to the left. rank: of every piece."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of each piece that starts at a place
+    alive = bytearray(b"\1" * n)
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        middle = end[i]
+        if not alive[i] or middle >= n or end[middle] != stop:
+            continue  # one of the two has been merged since
+        alive[middle], end[i] = 0, stop
+        if stop < n:
+            before[stop] = i
+            if (r := rank.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (j := before[i]) >= 0 and (r := rank.get(word[j:stop])) is not None:
+            heapq.heappush(heap, (r, j, stop))
+    return [word[i : end[i]] for i in range(n) if alive[i]]
+
+
 class PieceModel:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -109,8 +139,10 @@ class PieceModel:
 
     def segment(self, word: str) -> list[str]:
         """The pieces of a run of characters that are all in the vocabulary."""
-        if word in self.parts or len(word) == 1:
+        if len(word) == 1 or word in self.parts and not word.startswith(MARK * 2):
             return [word]
+        if word.startswith(MARK * 2):
+            return merged_run(word, self.rank)
         apart = self.apart
         pieces, left = [], None
         for end, size in self.trie.iter_long(word):  # longest matches throughout, if no pair of them would join
@@ -147,6 +179,8 @@ class PieceModel:
                 at, left = end, piece
                 break
             else:
+                if not path:
+                    return merged_run(word, self.rank)
                 failed |= 1 << at  # no piece from here on, whatever stands before: step back
                 at = path.pop()[1]
                 left = path[-1][0] if path else None
@@ -194,7 +228,9 @@ class PieceModel:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
             ids = self.word_ids(word)
-            found = self.memory[word] = (len(ids), ",".join(map(str, ids)), self.decode_ids(ids))
+            found = len(ids), ",".join(map(str, ids)), self.decode_ids(ids)
+            if len(word) <= KEPT:
+                self.memory[word] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:

@@ -5,7 +5,8 @@ bounded sample of labelled rows (`SAMPLE`, by hash of the id), and flattened int
 at a time. Labels are learned only from rows outside the held-out fold; labels, lang, source and ids are no inputs.
 
 Null text counts as empty and gets a score as any other. Labels that are null are ignored; repeated label rows of a
-document all count. With labels of fewer than two kinds every score is the share of label 1 (0.5 without labels).
+document all count, as do repeated rows of `docs`. Ties between splits go to the first feature and cut. Other columns are
+not read by the scores; an empty table gives no rows. With labels of fewer than two kinds every score is the share of label 1 (0.5 without labels).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches, materialize, word_texts
+from .common import batches, word_texts
 
 #: Most labelled rows that the trees are fitted on.
 SAMPLE = 40_000
@@ -164,12 +165,25 @@ def document_statistics(docs: DataFrame, id_column: str = "doc_id", text_column:
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column]).mapInArrow(run, "doc_id long, fold int, features array<double>")
 
 
-def fit_on_labels(features: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Trees:
-    """Trees fitted on at most `sample` labelled rows outside the held-out fold, taken by a hash of the id."""
+def _features(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in it:
+        yield pa.array([list(map(float, statistics(t))) for t in word_texts(texts)], pa.list_(pa.float64()))
+
+
+def fit_on_labels(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text") -> Trees:
+    """Trees fitted on at most `sample` labelled rows outside the held-out fold, taken by a hash of the id.
+
+    Only the texts that the chosen labels name are looked at. The limit holds for the pairs of a text and a label, so
+    that ids with many rows don't lift it; of equal ids and labels, rows of the smallest features come first.
+    """
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     marked = marked.where((F.crc32(F.col("doc_id").cast("string")) % FOLDS) != HELD_OUT)
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = features.join(marked, "doc_id").orderBy("doc_id", "label").select("features", "label").toPandas()
+    here = docs.select(docs[id_column].cast("long").alias("doc_id")).distinct()
+    marked = marked.join(here, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    texts = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).join(F.broadcast(marked), "doc_id")  # at most `sample` rows of 12 bytes
+    rows = texts.select("doc_id", "label", F.arrow_udf(_features, "array<double>")("text").alias("features"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "features").limit(sample).select("doc_id", "label", "features").toPandas()
+    rows = rows.sort_values(["doc_id", "label"], kind="stable")
     x = np.array(rows["features"].tolist()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit_trees(x, rows["label"].to_numpy(dtype=np.float64))
 
@@ -189,13 +203,12 @@ def score_features(features: DataFrame, trees: Trees) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; rows without an id are scored and never held out."""
-    features = materialize(document_statistics(docs))
-    return score_features(features, fit_on_labels(features, labels))
+    return score_features(document_statistics(docs), fit_on_labels(docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier doesn't reject, all columns kept; the trees score each row in place."""
-    trees = fit_on_labels(materialize(document_statistics(docs)), labels)
+    trees = fit_on_labels(docs, labels)
 
     def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:

@@ -13,8 +13,9 @@ sorted by its bytes. A window is a repeat if an earlier member shares both exten
 Groups of over `LARGE` members are not gathered in a task: their windows are hashed one by one and meet in a Spark
 aggregation.
 
-Null and empty texts have nothing to remove, nor do rows without an id. Of rows that share an id but differ in text,
-one (of the smallest digest) takes part. Extra columns are left alone. Matches never cross texts.
+Each text has a number, in the order of ids, that stands for its id inside the operator. Rows that share an id but differ
+in text are texts of their own, ordered by digest within the id; those that are equal in both are one. Null and empty
+texts have nothing to remove, nor do rows without an id. Extra columns are left alone. Matches never cross texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLICE, batches, drop_tables, materialize, release, word_texts
+from .common import SLICE, batches, drop_tables, materialize, numbered_rows, release, word_texts
 from .jaccard_join import _POWERS, mixed
 
 LENGTH, GRAM, LARGE = 100, 32, 100_000
@@ -340,7 +341,7 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(texts: DataFrame, large: int = LARGE) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, start, stop) of spans to remove from texts with one row an id, each text there once; spans may overlap. And the tables they are read from."""
+    """(doc_id, start, stop) of spans to remove from texts with one row an id (here the text's number), each text there once; spans may overlap. And the tables they are read from."""
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = texts.mapInArrow(_find_anchors, "h long, around long, doc_id long, place long")
@@ -365,9 +366,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     named = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     listed = materialize(named.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")))
-    first = listed.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    taken = materialize(first.groupBy(F.col("first_id").alias("doc_id")).agg(F.min("digest").alias("digest")))
-    texts = materialize(rows.join(taken.select("doc_id", "digest"), "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("digest")).select("doc_id", "text").dropDuplicates(["doc_id"]))
+    first = listed.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    taken = numbered_rows(first, "doc_id", "digest")
+    texts = materialize(named.join(taken, ["doc_id", "digest"]).select(F.col("number").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
     release(docs.sparkSession)
     spans, between = repeated_spans(texts, large)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # a few an anchor of the text
@@ -375,11 +376,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     cut = materialize(cut)
     drop_tables(texts, *between)
     release(docs.sparkSession)
-    taking = taken.withColumn("takes_part", F.lit(True))
-    copies = first.withColumnRenamed("first_id", "copied")
-    state = listed.join(taking, ["doc_id", "digest"], "left").join(copies, "digest", "left")
+    copies = taken.select("digest", F.col("doc_id").alias("copied"))
+    state = listed.join(taken, ["doc_id", "digest"], "left").join(copies, "digest", "left")
     copy = (F.col("copied") < F.col("doc_id")) & (F.col("n_bytes") >= LENGTH)
-    state = state.select("doc_id", "digest", "n_bytes", copy.alias("copy"), F.when(F.col("takes_part"), F.col("doc_id")).alias("own"))
+    state = state.select("doc_id", "digest", "n_bytes", copy.alias("copy"), F.col("number").alias("own"))
     out = state.join(cut.select(F.col("doc_id").alias("own"), "n_removed", "n_spans", "kept"), "own", "left")
     none = F.lit(0).cast("long")
     return out.select(
