@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stratalake.operators.spatial import kriging, neighbourhoods
+from stratalake.operators.spatial import informed, kriging, neighbourhoods
 
 #: Share of the sill reached at a distance, as a share of the range.
 FAMILIES = {
@@ -95,32 +95,35 @@ def coregionalization(gammas: DataFrame, structures: list[tuple[str, float]], ro
 
 
 def indicator_kriging(neighbours: DataFrame, models: dict[float, tuple[float, float, float]]) -> DataFrame:
-    """(target, probabilities): for thresholds in rising order, the chance that a target's value is at most each.
+    """(target, probabilities, status): for thresholds in rising order, the chance that a target's value is at most each.
 
     The indicator of each threshold is kriged by its own (sill, range, nugget). Chances are cut to [0, 1] and put in
     order as the mean of the running largest from below and the running least from above. A target with a failed system
-    has no row.
+    at any threshold is failed, without chances.
     """
     each = None
     for i, (threshold, model) in enumerate(sorted(models.items())):  # a declared few
         below = neighbours.withColumn("value", (F.col("value") <= threshold).cast("double"))
-        one = kriging(below, *model).where("status = 'estimated'").select("target", F.struct(F.lit(i).alias("i"), F.least(F.greatest("estimate", F.lit(0.0)), F.lit(1.0)).alias("p")).alias("step"))
+        one = kriging(below, *model).select("target", F.struct(F.lit(i).alias("i"), F.when(F.col("status") == "estimated", F.least(F.greatest("estimate", F.lit(0.0)), F.lit(1.0))).alias("p")).alias("step"))
         each = one if each is None else each.unionByName(one)
-    met = each.groupBy("target").agg(F.transform(F.array_sort(F.collect_list("step")), lambda x: x.p).alias("p")).where(F.size("p") == len(models))
+    met = each.groupBy("target").agg(F.transform(F.array_sort(F.collect_list("step")), lambda x: x.p).alias("p"))
+    whole = ~F.exists("p", lambda x: x.isNull())
     at = F.sequence(F.lit(1), F.size("p"))
     up = F.transform(at, lambda i: F.array_max(F.slice("p", F.lit(1), i)))
     down = F.transform(at, lambda i: F.array_min(F.slice("p", i, F.size("p"))))
-    return met.select("target", F.zip_with(up, down, lambda a, b: (a + b) / 2).alias("probabilities"))
+    return met.select("target", F.when(whole, F.zip_with(up, down, lambda a, b: (a + b) / 2)).alias("probabilities"), F.when(whole, "estimated").otherwise("failed").alias("status"))
 
 
 def universal_with_retry(targets: DataFrame, observations: DataFrame, per_hole: int, most: int, first_radius: float, sill: float, reach: float, nugget: float) -> DataFrame:
-    """(target, estimate, variance, status, retried): targets whose drift is singular try once more with neighbourhoods of twice the size."""
+    """(target, estimate, variance, status, retried): targets whose drift is singular try once more with neighbourhoods of twice the size; those without neighbours are uninformed."""
     near = neighbourhoods(targets, observations, per_hole, most, first_radius)
     first = kriging(near, sill, reach, nugget, "universal").withColumn("retried", F.lit(False))
     open_targets = targets.join(first.where("status = 'failed'").select(F.col("target").alias("id")), "id", "left_semi")
     wider = neighbourhoods(open_targets, observations, 2 * per_hole, 2 * most, first_radius)
     second = kriging(wider, sill, reach, nugget, "universal").withColumn("retried", F.lit(True))
-    return first.where("status = 'estimated'").unionByName(second)
+    met = first.where("status = 'estimated'").unionByName(second)
+    rows = targets.select(F.col("id").alias("target")).join(met, "target", "left")
+    return rows.select("target", "estimate", "variance", F.coalesce("status", F.lit("uninformed")).alias("status"), F.coalesce("retried", F.lit(False)).alias("retried"))
 
 
 def neighbour_diagnostics(neighbours: DataFrame) -> DataFrame:
@@ -140,32 +143,40 @@ def graph_edges(neighbours: DataFrame) -> DataFrame:
     return met.select("a", "b", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("weight"))
 
 
-def collar_surface(cells: DataFrame, collars: DataFrame, power: float = 2.0, most: int = 100_000) -> DataFrame:
+def collar_surface(cells: DataFrame, collars: DataFrame, power: float = 2.0, block: int = 2048) -> DataFrame:
     """(id, z): height at cells (id, x, y) from all collars (x, y, z), inverse to the distance; at a collar, its own (the mean of several).
 
-    Every collar weighs on every cell, so the collars, `most` at the utmost (else it raises), go to each task as arrays
-    and meet the cells of a batch by blocks. Collars without x, y or z take no part; a cell without x or y, or without
-    any collar, has no height.
+    Every collar weighs on every cell. Both are dealt to blocks of about `block` rows by hash; each block of cells meets
+    each block of collars in a row of its own, which adds up z and 1 over the powers of the distances, and the sums meet by
+    cell. So neither the cells nor the collars are ever in one task. Collars without x, y or z take no part; a cell without
+    x or y, or without any collar, has no height. Cells of one id and place are one.
     """
-    known = collars.dropna(subset=["x", "y", "z"]).select(*(F.col(c).cast("double") for c in "xyz")).limit(most + 1).toPandas().to_numpy(float)
-    if len(known) > most:
-        raise ValueError(f"over {most} collars")
-    block = max(1, 4_000_000 // max(1, len(known)))
-
-    def heights(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = cells.schema["id"].dataType.simpleString()
+    known = collars.select(*(F.col(c).cast("double").alias(c) for c in "xyz")).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz"))
+    points = cells.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    placed = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    blocks = -(-known.count() // block)
+    if not blocks:
+        return points.select("id", F.lit(None).cast("double").alias("z"))
+    held = known.groupBy(F.pmod(F.xxhash64("x", "y", "z", F.monotonically_increasing_id()), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("collars"))
+    asked = placed.groupBy(F.pmod(F.xxhash64("id", "x", "y"), F.lit(max(1, -(-placed.count() // block)))).alias("part")).agg(F.collect_list(F.struct("id", "x", "y")).alias("cells"))
+    met = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "block").select("cells", "collars")
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "xy"], 1)
-            z = np.full(len(at), np.nan)
-            for start in range(0, len(at) if len(known) else 0, block):
-                part = at[start : start + block]
-                d = np.hypot(part[:, :1] - known[:, 0], part[:, 1:] - known[:, 1])
+            for k in range(batch.num_rows):
+                cell, collar = batch.column("cells")[k].values, batch.column("collars")[k].values
+                at, by = ([g.field(c).to_numpy(zero_copy_only=False) for c in "xy"] for g in (cell, collar))
+                z = collar.field("z").to_numpy(zero_copy_only=False)
+                d = np.hypot(at[0][:, None] - by[0], at[1][:, None] - by[1])
                 hit = d == 0
-                w = np.where(hit.any(1, keepdims=True), hit, np.where(hit, 1, d) ** -power)
-                z[start : start + block] = (w * known[:, 2]).sum(1) / w.sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(z, mask=np.isnan(z))], names=["id", "z"])
+                w = np.where(hit, 0.0, np.where(hit, 1.0, d) ** -power)
+                columns = [(w @ z), w.sum(1), hit @ z, hit.sum(1).astype(float)]
+                yield pa.RecordBatch.from_arrays([cell.field("id"), *map(pa.array, columns)], names=["id", "wz", "w", "hz", "h"])
 
-    points = cells.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return points.mapInArrow(heights, f"id {cells.schema['id'].dataType.simpleString()}, z double")
+    each = met.mapInArrow(sums, f"id {kind}, wz double, w double, hz double, h double").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("wz", "w", "hz", "h")))
+    heights = each.select("id", F.when(F.col("h") > 0, F.col("hz") / F.col("h")).otherwise(F.col("wz") / F.col("w")).alias("z"))
+    return points.join(heights, "id", "left").select("id", "z")
 
 
 def bootstrap_difference(rows: DataFrame, replicates: int = 1000, seed: int = 0, block: int = 4096) -> DataFrame:
@@ -205,7 +216,7 @@ def cokriging(neighbours: DataFrame, structures: list[tuple[str, float, list[lis
     0. Targets of one pattern of variables are solved together; one without variable 0 or with a singular system failed.
     """
     steps, noise = [(f, reach, np.array(b, float)) for f, reach, b in structures], np.array(nugget, float)
-    rows = neighbours.groupBy("target").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.array_sort(F.collect_list(F.struct("variable", "id", "x", "y", "value"))).alias("near"))
+    rows = informed(neighbours).groupBy("target").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.array_sort(F.collect_list(F.struct("variable", "id", "x", "y", "value"))).alias("near"))
 
     def covariance(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return sum((m[a, b] * (1 - FAMILIES[f](d / reach)) for f, reach, m in steps), noise[a, b] * (d == 0))

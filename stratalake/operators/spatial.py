@@ -36,12 +36,20 @@ def capped_neighbours(pairs: DataFrame, per_hole: int, most: int) -> DataFrame:
     return capped.withColumn("nth", F.row_number().over(in_all)).where(F.col("nth") <= most)
 
 
+def informed(rows: DataFrame) -> DataFrame:
+    """Rows whose x, y and value are numbers: null and NaN inform nothing."""
+    return rows.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan(cast({c} AS double))" for c in ("x", "y", "value")))
+
+
 def neighbourhoods(targets: DataFrame, observations: DataFrame, per_hole: int, most: int, first_radius: float, radius: float | None = None) -> DataFrame:
     """The capped neighbours of each target (id, x, y) among observations (id, hole, x, y, value) of other ids, within `radius` where one is declared.
 
     The search doubles its radius for targets with fewer than `most` neighbours, until it covers all points; nothing
-    farther can displace the neighbours of a target that has its number.
+    farther can displace the neighbours of a target that has its number. Observations without x, y or value are none, and
+    targets without x or y have no neighbours.
     """
+    observations = informed(observations)
+    targets = targets.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(cast(x AS double)) AND NOT isnan(cast(y AS double))")
     both = targets.select("x", "y").union(observations.select("x", "y"))
     box = both.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
     widest = 2 * max(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) + first_radius if box["n"] else 0.0
@@ -171,9 +179,9 @@ def kriging(neighbours: DataFrame, sill: float, reach: float, nugget: float, kin
     """(target, estimate, variance, status) from neighbours (target, tx, ty, id, x, y, value), a capped few a target.
 
     A target's neighbours become one row of arrays, and systems of one size are solved together. Singular systems are
-    reported as failed, never replaced by another method.
+    reported as failed, never replaced by another method. Neighbours without a place or value weigh nothing.
     """
-    rows = neighbours.groupBy("target").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.array_sort(F.collect_list(F.struct("id", "x", "y", "value"))).alias("near"))
+    rows = informed(neighbours).groupBy("target").agg(F.first("tx").alias("tx"), F.first("ty").alias("ty"), F.array_sort(F.collect_list(F.struct("id", "x", "y", "value"))).alias("near"))
 
     def solve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

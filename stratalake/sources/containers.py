@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from stratalake.sources.strict import header_findings
+from stratalake.sources.strict import header_cells, header_findings
 
 CHUNK = 20_000
 ENCRYPTED = 1  # bit of a member's flags
@@ -65,9 +65,10 @@ def zip_table(spark: SparkSession, path: str, member: str, encoding: str = "cp12
     first = rows.where("_row = 1").first()
     if first is None:
         raise ValueError(f"{member} is empty")
-    header = [h.lstrip("﻿") for h in first["cells"]]
-    if found := header_findings(header, ()):
-        raise ValueError("; ".join(detail for _, detail in found))
+    cells = header_cells(spark.createDataFrame([(first["cells"],)], "cells array<string>"))
+    if found := header_findings(cells).collect():
+        raise ValueError("; ".join(f"{f['code']}: {f['detail']}" for f in found))
+    header = [c["name"] for c in cells.orderBy("place").collect()]
     return rows.where("_row > 1").select("_row", *(F.col("cells")[i].alias(h) for i, h in enumerate(header)))
 
 

@@ -41,6 +41,27 @@ def test_manifest(spark, file):
     assert sorted((r.code, r.severity) for r in findings.collect()) == [("FILE_DUPLICATE", "warning"), ("HASH_MISMATCH", "error")]
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    import hashlib
+
+    paths = []
+    for folder, text in (("a", "Hole,Cu\nD1,1\n"), ("b", "Hole,Cu\nD2,2\n"), ("c", "Hole,Cu\nD1,1\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text(text)
+        paths.append((str(tmp_path / folder / "x.csv"), hashlib.sha256(text.encode()).hexdigest()))
+    for pinned in (False, True):
+        tables, findings = read_manifest(spark, [Spec(p, "assay", sha256=h if pinned else None) for p, h in paths])
+        assert sorted((r.Hole, r.Cu) for r in tables["assay"].collect()) == [("D1", "1"), ("D2", "2")]
+        assert [(r.code, r.file) for r in findings.collect()] == [("FILE_DUPLICATE", paths[2][0])]
+
+
+def test_header_details(spark, file):
+    _, findings = scan(spark, Spec(file("a.csv", "A, ,A,,B,B\n1,2,3,4,5,6\n"), "assay", columns=("Z",)))
+    assert sorted((f[0], f[4]) for f in findings) == [("HEADER_BLANK", "2 | 4"), ("HEADER_DUPLICATE", "A | B")]
+    _, findings = scan(spark, Spec(file("b.csv", "A,B\n1,2\n"), "assay", columns=("Z", "A", "Y")))
+    assert [(f[0], f[4]) for f in findings] == [("COLUMN_MISSING", "Y | Z")]
+
+
 def test_trajectories(spark):
     collars = spark.createDataFrame([("vertical", None, None, 100.0), ("collar", 90.0, -60.0, 30.0), ("tangent", None, None, None), ("conflict", 10.0, -50.0, 40.0), ("long", 0.0, -90.0, 30.0)], "hole string, azimuth double, dip double, depth double")
     readings = spark.createDataFrame([("tangent", 5.0, 90.0, -60.0), ("conflict", 0.0, 1.0, -50.0), ("conflict", 0.0, 2.0, -50.0), ("long", 0.0, 1.0, -50.0), ("long", 20.0, 1.0, -50.0), ("long", 20.0, 1.0, -50.0)], "hole string, md double, azimuth double, dip double")

@@ -108,8 +108,38 @@ def test_surface_is_exact_at_collars(spark):
     found = dict(map(tuple, M.collar_surface(cells, collars).collect()))
     assert found[1] == 15 and found[3] is None and math.isclose(found[2], (10 / 9 + 20 / 9 + 40 / 16) / (2 / 9 + 1 / 16))
     assert {r.z for r in M.collar_surface(cells, collars.where("false")).collect()} == {None}
-    with pytest.raises(ValueError, match="collars"):
-        M.collar_surface(cells, collars, most=2)
+    rng = np.random.default_rng(3)
+    xyz, at = rng.uniform(0, 100, (90, 3)), rng.uniform(0, 100, (70, 2))
+    at[:5] = xyz[:5, :2]
+    many = spark.createDataFrame([tuple(map(float, r)) for r in [*xyz, xyz[0] + [0, 0, 4.0]]], "x double, y double, z double")
+    places = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(at)], "id long, x double, y double")
+    found = dict(map(tuple, M.collar_surface(places, many, block=16).collect()))
+    for i, r in enumerate(at):
+        d = np.hypot(*(xyz[:, :2] - r).T)
+        assert math.isclose(found[i], xyz[i, 2] + 2 * (i == 0) if i < 5 else ((xyz[:, 2] / d**2).sum() + (xyz[0, 2] + 4) / d[0] ** 2) / ((1 / d**2).sum() + 1 / d[0] ** 2), rel_tol=1e-9)
+
+
+def test_observations_without_values_weigh_nothing(spark):
+    from stratalake.operators import spatial
+
+    nan = float("nan")
+    points = [(1, 10, 0.0, 0.0, 1.0), (2, 20, 10.0, 0.0, 2.0), (3, 30, 0.0, 10.0, None), (4, 40, 10.0, 10.0, 4.0), (5, 50, 5.0, 5.0, 3.0), (6, 60, 5.0, 4.0, nan), (7, 70, None, 4.0, 9.0)]
+    table = spark.createDataFrame(points, "id long, hole long, x double, y double, value double")
+    near = spatial.neighbourhoods(table, table, 2, 8, 50.0)
+    assert {r.id for r in near.collect()} == {1, 2, 4, 5}
+    found = {r.target: r for r in spatial.with_uninformed(table, spatial.kriging(near, 1.0, 50.0, 0.1), near, 1).collect()}
+    assert set(found) == set(range(1, 8)) and found[7].status == "uninformed" and found[7].estimate is None
+    assert all(math.isfinite(found[i].estimate) for i in range(1, 7))
+
+
+def test_failed_and_uninformed_targets_stay(spark):
+    twice = [(1, 0.0, 0.0, i, 5.0, 5.0, float(i)) for i in (1, 2)] + [(2, 0.0, 0.0, i, 3.0 * i, 1.0, float(i)) for i in (1, 2)]
+    near = spark.createDataFrame(twice, "target long, tx double, ty double, id long, x double, y double, value double")
+    found = {r.target: r for r in M.indicator_kriging(near, {1.5: (1.0, 20.0, 0.0), 2.5: (1.0, 20.0, 0.0)}).collect()}
+    assert (found[1].status, found[1].probabilities, found[2].status, len(found[2].probabilities)) == ("failed", None, "estimated", 2)
+    sites = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0)], "id long, hole long, x double, y double, value double")
+    (alone,) = M.universal_with_retry(sites, sites, 1, 3, 10.0, 1.0, 50.0, 0.1).collect()
+    assert (alone.target, alone.status, alone.estimate, alone.retried) == (1, "uninformed", None, False)
 
 
 def test_cokriging_equals_one_dense_system(spark):
