@@ -1,7 +1,7 @@
 """Packing of documents into sequences by order-preserving dynamic programming.
 
 The documents of a scan partition are taken in their order as one run of tokens. Cut points lie at document ends
-(free), sentence ends (a small truncation penalty) and, inside sentences of over `LONG` tokens, every `STRIDE` tokens
+(free), sentence ends (a small truncation penalty) and, only inside sentences that no window holds, every `STRIDE` tokens
 (a large one). The cheapest chain of windows of at most `length` tokens is found with a monotone queue: a window's
 padding is `length` less its tokens, so the best start of a window is the smallest cost plus position among the points
 in reach, which the queue holds in order. Windows whose length is a power of two are not padded and are looked up
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from .common import batches
 
-LENGTH, BLOCK, LONG, STRIDE = 1024, 1 << 20, 32, 16
+LENGTH, BLOCK, STRIDE = 1024, 1 << 20, 16
 SENTENCE_COST, INNER_COST = 1, 8
 #: Unpadded lengths that are looked up at every point; at the end of a block all powers of two are.
 SHORTER = (512, 256, 128)
@@ -80,7 +80,7 @@ def load_encoder(ranks_path: str, pattern: str, json_path: str) -> Encoder:
     return Encoder(ranks_path, pattern, json_path)
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, long: int = LONG, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, long: int = LENGTH, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Positions from 0 to the end of the block, and the penalty of a cut at each."""
     price = np.full(len(ids) + 1, -1, np.int32)
     price[1:][ends[ids]] = SENTENCE_COST
@@ -139,7 +139,7 @@ def pack_block(doc_ids: list, parts: list[np.ndarray], ends: np.ndarray, first:
     sizes = np.array([len(p) for p in parts])
     doc_ends = np.cumsum(sizes)
     doc_starts = doc_ends - sizes
-    cuts = np.array(best_cuts(*cut_points(ids, doc_ends, ends), length))
+    cuts = np.array(best_cuts(*cut_points(ids, doc_ends, ends, length), length))
     edges = np.union1d(np.union1d(cuts, doc_starts), [len(ids)])
     begin, end = edges[:-1], edges[1:]
     doc = np.searchsorted(doc_ends, begin, "right")
