@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -32,3 +32,14 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def placed_rows(df: DataFrame, *order: str) -> DataFrame:
+    """`df` with a column place, its rows' number in the order of the columns `order` from 0: ranges are counted one by one."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    inner = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    held = written(sorted_rows.select("*", F.spark_partition_id().alias("_part"), inner.alias("_inner")))
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    return held.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_inner")).alias("place"))
