@@ -26,18 +26,17 @@ def fixed_boundaries(intervals: DataFrame, length: float) -> DataFrame:
     return edges.select("hole", "k", (F.col("k") * length).alias("lo"), F.least((F.col("k") + 1) * length, F.col("deep")).alias("hi")).where("lo < hi")
 
 
-def composites(intervals: DataFrame, length: float, least: float) -> DataFrame:
-    """Length-weighted means of fixed-length composites by hole and analyte, where coverage is at least `least`.
-
-    Every composite of a hole is returned for each analyte of the hole; one that no valued sample meets has coverage 0.
-    """
-    edges = fixed_boundaries(intervals, length)
+def _met_composites(intervals: DataFrame, length: float) -> DataFrame:
+    """(hole, k, analyte, numerator, covered, parents) of the composites that valued samples meet; a sample names those itself, from its ends."""
     a = sound(intervals).where("value IS NOT NULL")
-    met = edges.join(a, "hole").where((F.col("from_md") < F.col("hi")) & (F.col("to_md") > F.col("lo")))
-    part = overlap_length(F.col("from_md"), F.col("to_md"), F.col("lo"), F.col("hi"))
-    total = met.groupBy("hole", "k", "analyte").agg(F.sum(F.col("value") * part).alias("numerator"), F.sum(part).alias("covered"), F.count("*").alias("parents"))
-    wanted = edges.join(sound(intervals).where("analyte IS NOT NULL").select("hole", "analyte").distinct(), "hole")
-    total = wanted.join(total, ["hole", "k", "analyte"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("numerator", "covered", "parents")})
+    first = F.floor(F.col("from_md") / length).cast("int")
+    last = F.greatest(F.ceil(F.col("to_md") / length).cast("int") - 1, first)
+    each = a.select("hole", "analyte", "value", "from_md", "to_md", F.explode(F.sequence(first, last)).alias("k")).where((F.col("from_md") < (F.col("k") + 1) * length) & (F.col("to_md") > F.col("k") * length))
+    part = overlap_length(F.col("from_md"), F.col("to_md"), F.col("k") * length, (F.col("k") + 1) * length)
+    return each.groupBy("hole", "k", "analyte").agg(F.sum(F.col("value") * part).alias("numerator"), F.sum(part).alias("covered"), F.count("*").alias("parents"))
+
+
+def _with_status(total: DataFrame, length: float, least: float) -> DataFrame:
     span = F.col("hi") - F.col("lo")
     kept = (F.col("parents") > 0) & (F.col("covered") / span >= least)
     return total.select(
@@ -47,6 +46,24 @@ def composites(intervals: DataFrame, length: float, least: float) -> DataFrame:
     )
 
 
+def met_composites(intervals: DataFrame, length: float, least: float) -> DataFrame:
+    """The composites of `composites` that some valued sample meets, without making the others first."""
+    deepest = sound(intervals).groupBy("hole").agg(F.max("to_md").alias("deep"))
+    total = _met_composites(intervals, length).join(deepest, "hole")
+    return _with_status(total.withColumn("lo", F.col("k") * length).withColumn("hi", F.least((F.col("k") + 1) * length, F.col("deep"))), length, least)
+
+
+def composites(intervals: DataFrame, length: float, least: float) -> DataFrame:
+    """Length-weighted means of fixed-length composites by hole and analyte, where coverage is at least `least`.
+
+    Every composite of a hole is returned for each analyte of the hole; one that no valued sample meets has coverage 0.
+    """
+    edges = fixed_boundaries(intervals, length)
+    wanted = edges.join(sound(intervals).where("analyte IS NOT NULL").select("hole", "analyte").distinct(), "hole")
+    total = wanted.join(_met_composites(intervals, length), ["hole", "k", "analyte"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("numerator", "covered", "parents")})
+    return _with_status(total, length, least)
+
+
 def overlapping_pairs(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of different overlapping intervals of a hole; identical intervals are no overlap. `sample` orders a pair."""
     rows = sound(intervals).select(*keys, "sample", "from_md", "to_md")

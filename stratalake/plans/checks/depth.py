@@ -13,14 +13,14 @@ pieces AS (SELECT c.hole, c.lo, c.hi, count(DISTINCT code) AS labels, count(*) A
 
 
 
-def composites(s, d):
+def composites(s, d, made=I.composites):
     """Numerators are rounded as the values are, to 0.01 over whole lengths."""
-    rows = I.composites(samples(s, d), 20.0, 0.5).withColumn("numerator", F.round("numerator", 2))
+    rows = made(samples(s, d), 20.0, 0.5).withColumn("numerator", F.round("numerator", 2))
     return rows.withColumn("mean", F.when(F.col("mean").isNotNull(), F.col("numerator") / F.col("covered")))
 
 
 QUERIES = {
-    "a11_composites": lambda s, d: composites(s, d).where("parents > 0"),
+    "a11_composites": lambda s, d: composites(s, d, I.met_composites),
     "a11_gap_composites": lambda s, d: composites(s, d).where("parents = 0"),
     "t2_fixed_boundaries": lambda s, d: I.fixed_boundaries(samples(s, d), 20.0),
     "j5_overlapping_pairs": lambda s, d: I.overlapping_pairs(logs(s, d), ["hole"]),

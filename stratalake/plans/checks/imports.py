@@ -105,10 +105,10 @@ def assignments(s, d):
 
 def populations(s, d):
     """Rows of a population: samples or composites of one length."""
-    from stratalake.operators.intervals import composites
+    from stratalake.operators.intervals import met_composites
 
     own = samples(s, d).select("hole", "from_md", "to_md", "analyte", "value", F.lit("sample").alias("population"))
-    made = composites(samples(s, d), 20.0, 0.5).where("status = 'full'").select("hole", F.col("lo").alias("from_md"), F.col("hi").alias("to_md"), "analyte", F.col("mean").alias("value"), F.lit("composite").alias("population"))
+    made = met_composites(samples(s, d), 20.0, 0.5).where("status = 'full'").select("hole", F.col("lo").alias("from_md"), F.col("hi").alias("to_md"), "analyte", F.col("mean").alias("value"), F.lit("composite").alias("population"))
     return own.unionByName(made)
 
 
