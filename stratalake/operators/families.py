@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stratalake.operators.intervals import TOLERANCE, gaps, overlap_length, sound
 from stratalake.operators.matching import nearest_other, outermost, permutation_cut
@@ -52,11 +52,11 @@ def anchored_composites(intervals: DataFrame, lengths: list[float], least: float
 
 @dataclass(frozen=True)
 class Population:
-    """Members of one task: supports that fulfil `where`, or composites of `length` of one status; none where `refused` says why."""
+    """Members of one task: supports that fulfil the condition `where`, or composites of `length` of one status; none where `refused` says why."""
 
     id: str
     task: str
-    where: Column | None = None
+    where: str | None = None
     length: float | None = None
     status: str = "full"
     analyte: str | None = None
@@ -71,14 +71,14 @@ class Family:
     lengths: tuple[float, ...] = ()
     least: float = 1.0
     populations: tuple[Population, ...] = ()
-    steps: dict[str, Column] = field(default_factory=dict)
+    steps: dict[str, str] = field(default_factory=dict)
 
 
 def imported_family(name: str, analytes: list[str], lengths: tuple[float, ...], least: float) -> Family:
     """The family of a project that a user imported: for each analyte the measured intervals and full composites of each length."""
     found = []
     for a in analytes:
-        found.append(Population(f"{name}-{a}-native", "estimation", F.col("analyte") == a, analyte=a))
+        found.append(Population(f"{name}-{a}-native", "estimation", analyte=a))
         found += [Population(f"{name}-{a}-{x:g}m", "estimation", length=x, analyte=a) for x in lengths]
     return Family(name, lengths, least, tuple(found))
 
@@ -103,10 +103,10 @@ def run_family(family: Family, supports: DataFrame, collars: DataFrame) -> dict[
             continue
         if p.length is not None:
             rows = out["composites"].where((F.col("length") == p.length) & (F.col("status") == p.status))
-            rows = rows.where(F.col("analyte") == p.analyte) if p.analyte else rows
             name = F.concat_ws("/", F.col("hole").cast("string"), F.lit(f"{p.length:g}"), "k")
         else:
-            rows, name = supports.where(p.where), F.col("id").cast("string")
+            rows, name = supports.where(p.where) if p.where else supports, F.col("id").cast("string")
+        rows = rows.where(F.col("analyte") == p.analyte) if p.analyte else rows
         members = members.unionByName(rows.select(F.lit(p.id).alias("population"), F.lit(p.task).alias("task"), name.alias("member"), "hole").distinct())
     out["populations"] = members
     counts = members.groupBy("population").agg(F.count("*").alias("members"), F.countDistinct("hole").alias("holes"))

@@ -11,10 +11,10 @@ LENGTHS, LEAST = (20.0, 50.0), 0.75
 FAMILY = P.Family(
     "demo", LENGTHS, LEAST,
     (
-        P.Population("native", "estimation", (F.col("kind") == "interval") & F.col("value").isNotNull()), P.Population("points", "display", F.col("kind") == "point"),
+        P.Population("native", "estimation", "kind = 'interval' AND value IS NOT NULL"), P.Population("points", "display", "kind = 'point'"),
         P.Population("A-20", "estimation", length=20.0, analyte="A"), P.Population("A-50-residual", "review", length=50.0, status="residual", analyte="A"), P.Population("one-hole", "none", refused="one hole forms no groups"),
     ),
-    {"without value": F.col("value").isNull()},
+    {"without value": "value IS NULL"},
 )
 
 
