@@ -41,32 +41,75 @@ def informed(rows: DataFrame) -> DataFrame:
     return rows.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan(cast({c} AS double))" for c in ("x", "y", "value")))
 
 
-def neighbourhoods(targets: DataFrame, observations: DataFrame, per_hole: int, most: int, first_radius: float, radius: float | None = None) -> DataFrame:
+#: Halvings of the first radius down to the finest cells, and targets of a task of the neighbour search.
+DEPTH, TARGETS = 16, 8192
+
+
+def _first_of_places(observations: DataFrame, per_hole: int, most: int) -> DataFrame:
+    """Observations that can be neighbours at all: of those at one place, the least ids, with spares for a target and a hole that are left out."""
+    in_hole, before = Window.partitionBy("x", "y", "hole").orderBy("id"), Window.partitionBy("x", "y").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    near = observations.withColumn("_nth", F.row_number().over(in_hole)).where(F.col("_nth") <= per_hole + 1)
+    ahead = F.coalesce(F.sum((F.col("_nth") <= per_hole).cast("int")).over(before), F.lit(0))
+    return near.withColumn("_ahead", ahead).where(F.col("_ahead") <= most + per_hole).drop("_nth", "_ahead")
+
+
+def _with_levels(goals: DataFrame, known: DataFrame, per_hole: int, most: int, unit: float) -> DataFrame:
+    """`goals` with the level of the finest cell, `unit` times a power of two wide, that holds over half of `most` of the known, or DEPTH."""
+    cells = [F.floor(F.col(c) / (unit * F.pow(F.lit(2.0), F.col("level")))).alias(f"c{c}") for c in "xy"]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1))).alias("level")
+    spread = lambda df: df.repartition(max(1, -(-df.count() // TARGETS)), "x", "y").select("*", levels)  # noqa: E731  else one task counts the cells of a small file
+    held = spread(known.select("hole", "x", "y")).groupBy("level", *cells, "hole").count().groupBy("level", "cx", "cy").agg(F.sum(F.least("count", F.lit(per_hole))).alias("n"))
+    crowded = held.where(F.col("n") > max(1, most // 2)).drop("n")  # one may be the target itself
+    finest = spread(goals.select("id", "x", "y")).select("id", "level", *cells).join(crowded, ["level", "cx", "cy"]).groupBy("id").agg(F.min("level").alias("level"))
+    return goals.join(finest, "id", "left").withColumn("level", F.coalesce("level", F.lit(DEPTH)))
+
+
+def neighbourhoods(targets: DataFrame, observations: DataFrame, per_hole: int, most: int, first_radius: float, radius: float | None = None, other_holes: bool = False) -> DataFrame:
     """The capped neighbours of each target (id, x, y) among observations (id, hole, x, y, value) of other ids, within `radius` where one is declared.
 
-    The search doubles its radius for targets with fewer than `most` neighbours, until it covers all points; nothing
-    farther can displace the neighbours of a target that has its number. Observations without x, y or value are none, and
-    targets without x or y have no neighbours.
+    With `other_holes`, targets (id, hole, x, y) take none of their own hole. Each target starts with the finest cell around
+    it, of at most the first radius, that holds half its number, and meets the observations of this and the eight cells
+    around it. Those with too few within a cell's width try again with cells of twice the width, until it covers the radius
+    or all points; nothing farther can displace the neighbours of a target that has its number. A target's candidates meet in
+    one task of some `TARGETS` targets, so that pairs are never shuffled. Observations without x, y or value are none, and
+    targets without x or y have no neighbours, nor have infinite places.
     """
-    observations = informed(observations)
-    targets = targets.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(cast(x AS double)) AND NOT isnan(cast(y AS double))")
-    both = targets.select("x", "y").union(observations.select("x", "y"))
-    box = both.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).first()
-    widest = 2 * max(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) + first_radius if box["n"] else 0.0
-    goals = targets.select("id", "x", "y")
-    left, reach, found = goals, first_radius if radius is None else radius, None
+    placed = " AND ".join(f"{c} IS NOT NULL AND abs(cast({c} AS double)) < double('infinity')" for c in "xy")  # NaN is above infinity
+    known = written(_first_of_places(informed(observations).where(placed).select("id", "hole", "x", "y", "value"), per_hole, most))
+    goals = targets.where(placed).select("id", "x", "y", *(["hole"] if other_holes else []))
+    box = goals.select("x", "y").union(known.select("x", "y")).agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xy")).first()
+    last = radius if radius is not None else 2 * max(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]) + first_radius if box["min_x"] is not None else 0.0
+    unit = (first_radius if radius is None else radius) / 2**DEPTH
+    width = unit * F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda c: F.floor(F.col(c) / width).alias(f"c{c}")
+    left = written(_with_levels(goals, known, per_hole, most, unit))
+    enough = known.groupBy("hole").count().agg(F.least(F.sum(F.least("count", F.lit(per_hole))), F.lit(most)).alias("n")).first()["n"] or 0
+    around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    found = None
     while True:
-        met = cell_pairs(left, observations, reach).where("id <> id_2").select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "id_2", F.col("x_2").alias("x"), F.col("y_2").alias("y"), F.round("distance", 9).alias("distance"))
-        near = written(capped_neighbours(met.withColumnRenamed("id_2", "id").join(observations.select("id", "hole", "value"), "id"), per_hole, most))
-        if radius is not None or reach > widest:
-            return near if found is None else found.unionByName(near)
-        done = near.groupBy("target").count().where(F.col("count") >= most).select("target")
-        settled = near.join(done, "target", "left_semi")
-        found = settled if found is None else found.unionByName(settled)
-        left = written(left.join(done.withColumnRenamed("target", "id"), "id", "left_anti"))  # else plans double each round
-        if left.isEmpty():
+        asked = {r["level"]: r["count"] for r in left.groupBy("level").count().collect()}  # a few dozen levels at most
+        if not asked and found is not None:
             return found
-        reach *= 2
+        parts = -(-sum(asked.values()) // TARGETS)
+        own = left.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), *([F.col("hole").alias("own_hole")] if other_holes else []), "level", width.alias("reach"), cell("x"), cell("y"))
+        each = known.withColumn("level", F.explode(F.array(*map(F.lit, asked or [0])))).select("*", cell("x"), cell("y"), F.explode(around).alias("_at"))
+        each = each.withColumn("cx", F.col("cx") + F.col("_at.dx")).withColumn("cy", F.col("cy") + F.col("_at.dy")).drop("_at")
+        key = ["level", "cx", "cy"]
+        d = F.sqrt(F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2))
+        if parts > 1:  # small as the tables are, their pairs are many
+            own, each = own.repartition(parts, *key), each.repartition(parts, *key)
+        met = own.join(each.hint("merge"), key).where("target <> id" + (" AND hole <> own_hole" if other_holes else "")).withColumn("distance", d)
+        met = met.where(F.col("distance") <= (F.col("reach") if radius is None else F.least("reach", F.lit(radius)))).withColumn("distance", F.round("distance", 9))
+        one, order = [*key, "target"], ["distance", "id"]
+        capped = met.withColumn("nth", F.row_number().over(Window.partitionBy(*one, "hole").orderBy(*order))).where(F.col("nth") <= per_hole)
+        capped = capped.withColumn("nth", F.row_number().over(Window.partitionBy(*one).orderBy(*order))).where(F.col("nth") <= most)
+        all_of = Window.partitionBy(*one)
+        full = (F.count("*").over(all_of) >= enough) & (F.max("distance").over(all_of) < F.col("reach") - 1e-8)  # none that rounds alike lies beyond
+        near = written(capped.select("id", "target", "tx", "ty", "x", "y", "distance", "hole", "value", "nth", (full | (F.col("reach") >= last)).alias("settled")))
+        settled = near.where("settled").drop("settled")
+        found = settled if found is None else found.unionByName(settled)
+        done = settled.select(F.col("target").alias("id")).distinct()
+        left = written(left.where(width < last).join(done, "id", "left_anti").withColumn("level", F.col("level") + 1))  # else plans double each round
 
 
 def with_uninformed(targets: DataFrame, estimates: DataFrame, neighbours: DataFrame, min_samples: int) -> DataFrame:

@@ -1,5 +1,8 @@
 """Estimation returns every target, informed or not."""
 
+import math
+import random
+
 from stratalake.operators import spatial
 from stratalake.plans import catalog
 
@@ -19,3 +22,31 @@ def test_far_and_uninformed_targets(spark):
 def test_kriging_returns_all_sites(spark):
     sites = {r.s_suppkey for r in spark.read.parquet(f"{SMALL}/supplier.parquet").select("s_suppkey").collect()}
     assert {r.target for r in catalog.queries()["t9_ordinary_kriging"](spark, SMALL).collect()} == sites
+
+
+def brute(rows, per_hole, most, radius, other_holes):
+    found = {}
+    for i, h, x, y, _ in rows:
+        near = sorted((round(math.hypot(x - a, y - b), 9), j, k) for j, k, a, b, _ in rows if j != i and not (other_holes and k == h) and (radius is None or math.hypot(x - a, y - b) <= radius))
+        kept = []
+        for d, j, k in near:
+            if sum(k == other for *_, other in kept) < per_hole:
+                kept.append((d, j, k))
+        found[i] = [(j, d) for d, j, _ in kept[:most]]
+    return found
+
+
+def test_dense_and_sparse_places(spark):
+    """Copies at one place, a dense cluster and far points: the same as all pairs, without meeting all pairs."""
+    draw = random.Random(5)
+    places = [(0.0, 0.0)] * 90 + [(draw.gauss(50, 0.01), draw.gauss(50, 0.01)) for _ in range(150)] + [(draw.uniform(0, 900), draw.uniform(0, 900)) for _ in range(100)] + [(float(i), 7.0) for i in range(40)]
+    rows = [(i, draw.randrange(9), x, y, float(i)) for i, (x, y) in enumerate(places)]
+    points = spark.createDataFrame(rows, "id long, hole long, x double, y double, value double")
+    for per_hole, most, radius, other in ((2, 8, None, False), (2, 8, 100.0, False), (1, 1, 100.0, False), (2, 8, 100.0, True), (1, 3, None, True)):
+        found = {i: [] for i, *_ in rows}
+        for r in spatial.neighbourhoods(points, points, per_hole, most, 100.0, radius, other_holes=other).collect():
+            found[r.target].append((r.nth, r.id, r.distance))
+        assert {i: [(j, d) for _, j, d in sorted(v)] for i, v in found.items()} == brute(rows, per_hole, most, radius, other)
+    assert spatial._first_of_places(points, 2, 8).where("x = 0 AND y = 0").count() <= 16
+    widest = spatial._with_levels(points, points, 2, 8, 100.0 / 2**spatial.DEPTH).where("id >= 90 AND id < 240").agg({"level": "max"}).first()[0]
+    assert widest <= spatial.DEPTH - 8  # cells of the cluster
