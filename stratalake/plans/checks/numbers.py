@@ -7,11 +7,9 @@ from stratalake.operators import geometry, ranks, scores, spatial
 from .views import SAMPLES, SITES, STATIONS, read, samples, sites, stations
 
 
-def pairs(s, d):
+def near(s, d, per_hole, most):
     a = sites(s, d)
-    met = spatial.cell_pairs(a.select(F.col("id"), "x", "y"), a, 1500.0).where("id <> id_2")
-    rows = met.join(a.select(F.col("id").alias("id_2"), "hole", "value"), "id_2")
-    return rows.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), "hole", F.col("id_2").alias("id"), F.col("x_2").alias("x"), F.col("y_2").alias("y"), F.round("distance", 9).alias("distance"), "value")
+    return spatial.neighbourhoods(a, a, per_hole, most, 1500.0, radius=1500.0)
 
 
 def whole(s, d, estimator):
@@ -43,9 +41,9 @@ def variogram(s, d):
 
 QUERIES = {
     "j8_only_neighbour": lambda s, d: spatial.only_neighbour(sites(s, d), sites(s, d), 120.0),
-    "w4_capped_neighbours": lambda s, d: spatial.capped_neighbours(pairs(s, d), 2, 8).select("target", "hole", "id", F.round("distance", 6).alias("distance"), "nth"),
-    "t9_inverse_distance": lambda s, d: spatial.inverse_distance(spatial.capped_neighbours(pairs(s, d), 2, 8)).withColumn("estimate", F.round("estimate", 4)),
-    "t9_nearest": lambda s, d: spatial.capped_neighbours(pairs(s, d), 1, 1).select("target", F.col("value").alias("estimate")),
+    "w4_capped_neighbours": lambda s, d: near(s, d, 2, 8).select("target", "hole", "id", F.round("distance", 6).alias("distance"), "nth"),
+    "t9_inverse_distance": lambda s, d: spatial.inverse_distance(near(s, d, 2, 8)).withColumn("estimate", F.round("estimate", 4)),
+    "t9_nearest": lambda s, d: near(s, d, 1, 1).select("target", F.col("value").alias("estimate")),
     "t9_inverse_distance_all": lambda s, d: whole(s, d, spatial.inverse_distance).withColumn("estimate", F.round("estimate", 4)),
     "t9_nearest_all": lambda s, d: whole(s, d, lambda near: near.where("nth = 1").select("target", F.col("value").alias("estimate"))),
     "t9_ordinary_kriging": lambda s, d: whole(s, d, lambda near: spatial.ordinary_kriging(near, 1.0, 2000.0, 0.1)),
