@@ -97,8 +97,8 @@ QUERIES = {
     "g14_basement_share": lambda s, d: read(s, d, "lineitem").where("l_returnflag IN ('A', 'R')").groupBy("l_linestatus").agg(F.round(F.avg((F.col("l_returnflag") == "R").cast("double")), 6).alias("share")),
     "a16_spatial_variograms": variograms,
     "a27_semivariance": lambda s, d: spatial.spatial_variograms(sites(s, d), 300.0, 5).where("direction = 'omni'").select("bin", "pairs", F.round(F.col("gamma") / 1e3, 4).alias("gamma")),
-    "a30_neighbour_scale": lambda s, d: spatial.neighbour_summary(spatial.capped_neighbours(spatial.other_hole_pairs(sites(s, d), 2000.0), 2, 8), 3).withColumn("scale", F.round("scale", 6)),
-    "j12_other_holes": lambda s, d: spatial.capped_neighbours(spatial.other_hole_pairs(sites(s, d), 2000.0), 2, 8).select("target", "hole", "id", F.round("distance", 6).alias("distance"), "nth"),
+    "a30_neighbour_scale": lambda s, d: spatial.neighbour_summary(spatial.neighbourhoods(sites(s, d), sites(s, d), 2, 8, 2000.0, radius=2000.0, other_holes=True), 3).withColumn("scale", F.round("scale", 6)),
+    "j12_other_holes": lambda s, d: spatial.neighbourhoods(sites(s, d), sites(s, d), 2, 8, 2000.0, radius=2000.0, other_holes=True).select("target", "hole", "id", F.round("distance", 6).alias("distance"), "nth"),
     "t12_components": lambda s, d: spatial.grid_components(cellular(s, d)),
     "j15_hole_connections": connections,
     "t20_knot_basis": lambda s, d: sites(s, d).select("id", E.knot_basis(F.col("x"), F.col("y"), KNOTS, 4000.0).alias("basis")).select("id", F.size("basis").alias("knots"), F.size(F.filter("basis", lambda b: b > 0)).alias("live"), F.round(F.aggregate("basis", F.lit(0.0), lambda a, b: a + b), 6).alias("total")),
