@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stratalake.operators.spatial import informed, kriging, neighbourhoods
+from stratalake.operators.surfaces import weighted_heights
 
 #: Share of the sill reached at a distance, as a share of the range.
 FAMILIES = {
@@ -143,23 +144,32 @@ def graph_edges(neighbours: DataFrame) -> DataFrame:
     return met.select("a", "b", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("weight"))
 
 
+#: Pairs of cells and collars that are all computed one by one.
+PAIRS = 10**9
+
+
 def collar_surface(cells: DataFrame, collars: DataFrame, power: float = 2.0, block: int = 2048) -> DataFrame:
     """(id, z): height at cells (id, x, y) from all collars (x, y, z), inverse to the distance; at a collar, its own (the mean of several).
 
     Every collar weighs on every cell. Both are dealt to blocks of about `block` rows by hash; each block of cells meets
     each block of collars in a row of its own, which adds up z and 1 over the powers of the distances, and the sums meet by
     cell. So neither the cells nor the collars are ever in one task. Collars without x, y or z take no part; a cell without
-    x or y, or without any collar, has no height. Cells of one id and place are one.
+    x or y, or without any collar, has no height. Cells of one id and place are one. Where their pairs pass `PAIRS`, far
+    collars weigh through interpolated fields (`weighted_heights`), equal to rounding, as all pairs would never end.
     """
     kind = cells.schema["id"].dataType.simpleString()
     known = collars.select(*(F.col(c).cast("double").alias(c) for c in "xyz")).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz"))
     points = cells.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
     placed = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    blocks = -(-known.count() // block)
+    collars_held, cells_held = known.count(), placed.count()
+    blocks = -(-collars_held // block)
     if not blocks:
         return points.select("id", F.lit(None).cast("double").alias("z"))
+    finite = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
+    if collars_held * cells_held > PAIRS:
+        return points.join(weighted_heights(placed.where(finite), known.where(finite), power, block), "id", "left").select("id", "z")
     held = known.groupBy(F.pmod(F.xxhash64("x", "y", "z", F.monotonically_increasing_id()), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("x", "y", "z"))).alias("collars"))
-    asked = placed.groupBy(F.pmod(F.xxhash64("id", "x", "y"), F.lit(max(1, -(-placed.count() // block)))).alias("part")).agg(F.collect_list(F.struct("id", "x", "y")).alias("cells"))
+    asked = placed.groupBy(F.pmod(F.xxhash64("id", "x", "y"), F.lit(max(1, -(-cells_held // block)))).alias("part")).agg(F.collect_list(F.struct("id", "x", "y")).alias("cells"))
     met = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "block").select("cells", "collars")
 
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
