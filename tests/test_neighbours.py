@@ -1,8 +1,12 @@
 """Estimation returns every target, informed or not."""
 
 import math
+import os
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from stratalake.operators import spatial
 from stratalake.plans import catalog
 
@@ -50,3 +54,37 @@ def test_dense_and_sparse_places(spark):
     assert spatial._first_of_places(points, 2, 8).where("x = 0 AND y = 0").count() <= 16
     widest = spatial._with_levels(points, points, 2, 8, 100.0 / 2**spatial.DEPTH).where("id >= 90 AND id < 240").agg({"level": "max"}).first()[0]
     assert widest <= spatial.DEPTH - 8  # cells of the cluster
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """3,000 sites, as dense as those of any number of copies: three times the suppliers with shifted keys."""
+    folder = tmp_path_factory.mktemp("copies")
+    one = spark.read.parquet(f"{os.path.dirname(SMALL)}/sf0.1/supplier.parquet")
+    one.crossJoin(spark.range(3).toDF("copy")).withColumn("s_suppkey", F.col("s_suppkey") + F.col("copy") * 1000).drop("copy").write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def rows_of_joins(spark, first):
+    """Rows that each join of the executions from `first` on gave, by its metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    for i in range(first, store.executionsCount()):
+        run = store.executionsList().apply(i).executionId()
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in map(nodes.apply, range(nodes.size())):
+            if "Join" in node.name():
+                for metric in map(node.metrics().apply, range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        yield int(values.apply(metric.accumulatorId()).replace(",", ""))
+
+
+#: Queries over the neighbours of all sites, each found to meet all pairs within the first radius in one task.
+QUERIES = ["t14_simple_methods"]
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_queries_meet_no_pairs_of_all_within_the_radius(spark, copies, name):
+    """Some 300 sites lie within 1,500 of a site; a query's joins give a fraction of those pairs."""
+    first = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    catalog.queries()[name](spark, copies).write.format("noop").mode("overwrite").save()
+    assert max(rows_of_joins(spark, first)) < 100 * 3000
