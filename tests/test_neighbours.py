@@ -79,7 +79,7 @@ def rows_of_joins(spark, first):
 
 
 #: Queries over the neighbours of all sites, each found to meet all pairs within the first radius in one task.
-QUERIES = ["t14_simple_methods", "t10_indicator_kriging", "t13_universal_with_retry", "t14_methods", "t15_variants", "t22_adjacency", "t22_graph_edges", "t9_cokriging", "t9_nearest_all", "t9_ordinary_kriging", "t9_universal_kriging"]
+QUERIES = ["t14_simple_methods", "t10_indicator_kriging", "t13_universal_with_retry", "t14_methods", "t15_variants", "t22_adjacency", "t22_graph_edges", "t9_cokriging", "t9_nearest_all", "t9_ordinary_kriging", "t9_universal_kriging", "t9_simple_kriging"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
