@@ -83,7 +83,8 @@ def neighbourhoods(targets: DataFrame, observations: DataFrame, per_hole: int, m
     width = unit * F.pow(F.lit(2.0), F.col("level"))
     cell = lambda c: F.floor(F.col(c) / width).alias(f"c{c}")
     left = written(_with_levels(goals, known, per_hole, most, unit))
-    enough = known.groupBy("hole").count().agg(F.least(F.sum(F.least("count", F.lit(per_hole))), F.lit(most)).alias("n")).first()["n"] or 0
+    held = known.groupBy("hole").count().agg(F.least(F.sum(F.least("count", F.lit(per_hole))), F.lit(most)).alias("enough"), F.sum("count").alias("rows")).first()
+    enough, rows = held["enough"] or 0, held["rows"] or 0
     around = F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     found = None
     while True:
@@ -92,9 +93,15 @@ def neighbourhoods(targets: DataFrame, observations: DataFrame, per_hole: int, m
             return found
         parts = -(-sum(asked.values()) // TARGETS)
         own = left.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), *([F.col("hole").alias("own_hole")] if other_holes else []), "level", width.alias("reach"), cell("x"), cell("y"))
-        each = known.withColumn("level", F.explode(F.array(*map(F.lit, asked or [0])))).select("*", cell("x"), cell("y"), F.explode(around).alias("_at"))
-        each = each.withColumn("cx", F.col("cx") + F.col("_at.dx")).withColumn("cy", F.col("cy") + F.col("_at.dy")).drop("_at")
-        key = ["level", "cx", "cy"]
+        key, place = ["level", "cx", "cy"], ["level", "px", "py"]
+        asking = own.select(*key).distinct().select(*key, F.explode(around).alias("_at")).select(*key, (F.col("cx") + F.col("_at.dx")).alias("px"), (F.col("cy") + F.col("_at.dy")).alias("py"))
+        each = known.withColumn("level", F.explode(F.array(*map(F.lit, asked or [0])))).select("*", cell("x").alias("px"), cell("y").alias("py"))
+        if parts > 1:  # only what lies around a target goes on, in tasks of bounded numbers of both sides
+            most_rows = max(parts, -(-rows * len(asked) // (16 * TARGETS)))
+            each = each.repartition(most_rows, *place).join(asking.repartition(most_rows, *place).hint("merge"), place)
+        else:
+            each = each.join(F.broadcast(asking), place)  # nine cells of each of TARGETS targets at most
+        each = each.drop("px", "py")
         d = F.sqrt(F.pow(F.col("tx") - F.col("x"), 2) + F.pow(F.col("ty") - F.col("y"), 2))
         if parts > 1:  # small as the tables are, their pairs are many
             own, each = own.repartition(parts, *key), each.repartition(parts, *key)
