@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stratalake.operators.spatial import informed, kriging, neighbourhoods
 from stratalake.operators.surfaces import weighted_heights
+from stratalake.storage import written
 
 #: Share of the sill reached at a distance, as a share of the range.
 FAMILIES = {
@@ -118,7 +119,7 @@ def indicator_kriging(neighbours: DataFrame, models: dict[float, tuple[float, fl
 def universal_with_retry(targets: DataFrame, observations: DataFrame, per_hole: int, most: int, first_radius: float, sill: float, reach: float, nugget: float) -> DataFrame:
     """(target, estimate, variance, status, retried): targets whose drift is singular try once more with neighbourhoods of twice the size; those without neighbours are uninformed."""
     near = neighbourhoods(targets, observations, per_hole, most, first_radius)
-    first = kriging(near, sill, reach, nugget, "universal").withColumn("retried", F.lit(False))
+    first = written(kriging(near, sill, reach, nugget, "universal").withColumn("retried", F.lit(False)))  # else solved again for each use
     open_targets = targets.join(first.where("status = 'failed'").select(F.col("target").alias("id")), "id", "left_semi")
     wider = neighbourhoods(open_targets, observations, 2 * per_hole, 2 * most, first_radius)
     second = kriging(wider, sill, reach, nugget, "universal").withColumn("retried", F.lit(True))
