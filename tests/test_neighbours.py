@@ -88,3 +88,44 @@ def test_queries_meet_no_pairs_of_all_within_the_radius(spark, copies, name):
     first = spark._jsparkSession.sharedState().statusStore().executionsCount()
     catalog.queries()[name](spark, copies).write.format("noop").mode("overwrite").save()
     assert max(rows_of_joins(spark, first)) < 100 * 3000
+
+
+def test_rounds_of_several_tasks(spark, monkeypatch):
+    """The same as all pairs where targets are dealt to many tasks and some need later rounds."""
+    monkeypatch.setattr(spatial, "TARGETS", 32)
+    draw = random.Random(6)
+    places = [(draw.uniform(0, 300), draw.uniform(0, 300)) for _ in range(200)] + [(draw.uniform(1500, 3000), draw.uniform(0, 3000)) for _ in range(20)] + [(-700.0, -700.0)] * 30
+    rows = [(i, draw.randrange(7), x, y, float(i)) for i, (x, y) in enumerate(places)]
+    points = spark.createDataFrame(rows, "id long, hole long, x double, y double, value double")
+    found = {i: [] for i, *_ in rows}
+    for r in spatial.neighbourhoods(points, points, 2, 8, 100.0).collect():
+        found[r.target].append((r.nth, r.id, r.distance))
+    assert {i: [(j, d) for _, j, d in sorted(v)] for i, v in found.items()} == brute(rows, 2, 8, None, False)
+
+
+def largest_task(spark, run):
+    """The largest peak execution memory of a task of `run`, in bytes."""
+    context, group = spark.sparkContext, f"largest-{random.random()}"
+    context.setJobGroup(group, group)
+    run()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+    largest = 0
+    for stage in {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}:
+        tasks = store.taskList(stage, 0, 10000)  # none of a skipped stage
+        for task in map(tasks.apply, range(tasks.size())):
+            if task.taskMetrics().isDefined():
+                largest = max(largest, task.taskMetrics().get().peakExecutionMemory())
+    return largest
+
+
+@pytest.mark.parametrize("name", ["t9_simple_kriging"])
+def test_largest_task_does_not_grow_with_the_sites(spark, tmp_path, name):
+    """Six times the sites take no more memory of a task; sites are as dense at both sizes."""
+    one = spark.read.parquet(f"{os.path.dirname(SMALL)}/sf0.1/supplier.parquet")
+    held = []
+    for copies in (1, 6):
+        folder = f"{tmp_path}/{copies}"
+        one.crossJoin(spark.range(copies).toDF("copy")).withColumn("s_suppkey", F.col("s_suppkey") + F.col("copy") * 1000).drop("copy").write.parquet(f"{folder}/supplier.parquet")
+        held.append(largest_task(spark, lambda: catalog.queries()[name](spark, folder).write.format("noop").mode("overwrite").save()))
+    assert 0 < held[1] < 2 * held[0], held
