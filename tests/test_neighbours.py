@@ -119,7 +119,7 @@ def largest_task(spark, run):
     return largest
 
 
-@pytest.mark.parametrize("name", ["t9_simple_kriging", "t22_graph_edges", "t9_cokriging"])
+@pytest.mark.parametrize("name", ["t9_simple_kriging", "t22_graph_edges", "t9_cokriging", "t9_ordinary_kriging"])
 def test_largest_task_does_not_grow_with_the_sites(spark, tmp_path, name):
     """Six times the sites take no more memory of a task; sites are as dense at both sizes."""
     one = spark.read.parquet(f"{os.path.dirname(SMALL)}/sf0.1/supplier.parquet")
