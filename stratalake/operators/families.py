@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stratalake.operators.intervals import TOLERANCE, gaps, overlap_length, sound
+from stratalake.operators.anchored import passing
+from stratalake.operators.intervals import TOLERANCE, gaps, sound
 from stratalake.operators.matching import nearest_other, outermost, permutation_cut
 from stratalake.operators.ranks import quantiles
 from stratalake.operators.spatial import cell_pairs
@@ -16,38 +18,29 @@ from stratalake.storage import placed_rows, written
 #: Shares of the four splits, of the rest where test is given; least holes of a family; outermost share; buffer in median spacings.
 SHARES = {"train": 60.0, "validation": 15.0, "calibration": 10.0, "test": 15.0}
 LEAST_HOLES, MARGIN, BUFFER = 4, 0.15, 1.5
+#: Columns of a support.
+SUPPORT = ["id", "hole", "sample", "from_md", "to_md", "kind", "analyte", "value"]
 
 
 def anchored_composites(intervals: DataFrame, lengths: list[float], least: float) -> DataFrame:
     """(hole, length, k, analyte, lo, hi, numerator, covered, parents, observed, mean, status): composites of several lengths that start at a hole's first depth.
 
-    A sample names the composites that it meets itself, from its ends, so that no sample is compared with an edge it does
-    not meet. Composites that none meets come from the edges by what is left over, and are insufficient. `parents` lists
-    samples by number, `observed` is the mean where there is cover but not enough, `mean` where there is.
+    Samples are dealt out by hole once and pass in order (`operators/anchored.py`), so that composites are neither shuffled nor
+    sorted nor kept. Those that no sample meets are insufficient. `parents` lists samples by number, `observed` is the mean
+    where there is cover but not enough, `mean` where there is.
     """
-    rows = sound(intervals)
-    reach = rows.groupBy("hole").agg(F.min("from_md").alias("first"), F.max("to_md").alias("deep"))
-    kinds = F.explode(F.array(*(F.lit(float(x)) for x in lengths))).alias("length")
-    edges = reach.select("hole", "first", "deep", kinds).withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("deep") - F.col("first")) / F.col("length") - TOLERANCE).cast("int") - 1, F.lit(0)))))
+    hole = Window.partitionBy("hole")
+    rows = sound(intervals).select("hole", "analyte", "sample", *(F.col(c).cast("double").alias(c) for c in ("from_md", "to_md", "value")))
+    reach = rows.withColumns({"first": F.min("from_md").over(hole), "deep": F.max("to_md").over(hole)}).where("analyte IS NOT NULL")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    form = f"hole {kinds['hole']}, analyte {kinds['analyte']}, first double, deep double, length double, k int, numerator double, covered double, parents array<{kinds['sample']}>"
+    met = reach.sortWithinPartitions("hole", "analyte", "from_md", "sample").mapInArrow(passing(tuple(map(float, lengths)), TOLERANCE), form)
     low = F.col("first") + F.col("k") * F.col("length")
-    valued = rows.where("value IS NOT NULL AND analyte IS NOT NULL").join(reach, "hole").select("*", kinds)
-    start = F.floor((F.col("from_md") - F.col("first")) / F.col("length")).cast("int")
-    stop = F.greatest(F.ceil((F.col("to_md") - F.col("first")) / F.col("length") - TOLERANCE).cast("int") - 1, start)
-    each = valued.withColumn("k", F.explode(F.sequence(start, stop)))
-    part = overlap_length(F.col("from_md"), F.col("to_md"), low, F.least(low + F.col("length"), F.col("deep")))
-    met = each.withColumn("part", part).where(f"part > {TOLERANCE}").groupBy("hole", "length", "k", "analyte").agg(
-        F.sum(F.col("value") * F.col("part")).alias("numerator"), F.sum("part").alias("covered"), F.array_sort(F.collect_list("sample")).alias("parents"))
-    wanted = edges.join(rows.where("analyte IS NOT NULL").select("hole", "analyte").distinct(), "hole")
-    both = wanted.join(met, ["hole", "length", "k", "analyte"], "left")
     hi = F.least(low + F.col("length"), F.col("deep"))
-    covered = F.coalesce("covered", F.lit(0.0))
-    enough = covered / (hi - low) >= least - TOLERANCE
-    mean = F.col("numerator") / F.col("covered")
+    enough = F.col("covered") / (hi - low) >= least - TOLERANCE
+    mean = F.when(F.col("covered") > 0, F.col("numerator") / F.col("covered"))
     status = F.when(~enough, "insufficient").when(hi - low < F.col("length") - TOLERANCE, "residual").otherwise("full")
-    return both.select(
-        "hole", "length", "k", "analyte", low.alias("lo"), hi.alias("hi"), F.coalesce("numerator", F.lit(0.0)).alias("numerator"), covered.alias("covered"),
-        F.coalesce("parents", F.array().cast(met.schema["parents"].dataType)).alias("parents"), F.when(~enough, mean).alias("observed"), F.when(enough, mean).alias("mean"), status.alias("status"),
-    )
+    return met.select("hole", "length", "k", "analyte", low.alias("lo"), hi.alias("hi"), "numerator", "covered", "parents", F.when(~enough, mean).alias("observed"), F.when(enough, mean).alias("mean"), status.alias("status"))
 
 
 @dataclass(frozen=True)
@@ -83,41 +76,58 @@ def imported_family(name: str, analytes: list[str], lengths: tuple[float, ...],
     return Family(name, lengths, least, tuple(found))
 
 
+def _members(rows: DataFrame, tests: list[tuple[Population, Column, Column]]) -> DataFrame:
+    """(population, task, member, hole): `rows` in each population whose condition they fulfil, in one pass. A test is a population, its condition and the member's name."""
+    named = [F.when(met, F.struct(F.lit(p.id).alias("population"), F.lit(p.task).alias("task"), name.alias("member"))) for p, met, name in tests]
+    return rows.select("hole", F.explode(F.array_compact(F.array(*named))).alias("found")).select("found.*", "hole")
+
+
 def run_family(family: Family, supports: DataFrame, collars: DataFrame) -> dict[str, DataFrame]:
     """Tables of a family over supports (id, hole, sample, from_md, to_md, kind, analyte, value) and collars (hole, depth).
 
     composites; populations (population, task, member, hole); counts (population, members, holes, reason); waterfall
     (step, n, full, residual, insufficient); beyond (id, hole); repeats (hole, from_md, to_md, ids); gaps. A support of
-    several analytes has a row each and counts once by id. The plan of every table follows from the declaration alone.
+    several analytes has a row each and counts once by id. The plan of every table follows from the declaration alone, and
+    nothing is computed or written before a table is read.
     """
     spark = supports.sparkSession
-    ids = supports.groupBy("id").agg(F.first("hole").alias("hole"), F.first("kind").alias("kind"), F.first("from_md").alias("from_md"), F.first("to_md").alias("to_md"))
-    out: dict[str, DataFrame] = {"gaps": gaps(supports.where("kind = 'interval'"))}
+    # Every part of a table reads the supports under the same observed digest of all their columns. So no part's columns and
+    # conditions reach below it, and supports that are dealt out by hole are shuffled once for all parts.
+    supports = supports.observe(uuid.uuid4().hex, F.bit_xor(F.xxhash64(*SUPPORT)).alias("digest"))
+    intervals = supports.where("kind = 'interval'")
+    out: dict[str, DataFrame] = {"gaps": gaps(intervals)}
     if family.lengths:
-        out["composites"] = written(anchored_composites(supports.where("kind = 'interval'"), list(family.lengths), family.least))
+        out["composites"] = anchored_composites(intervals, list(family.lengths), family.least)
     members = spark.createDataFrame([], "population string, task string, member string, hole " + supports.schema["hole"].dataType.simpleString())
-    told = []
+    of_supports, of_composites = [], []
     for p in family.populations:  # a declared few
-        told.append((p.id, p.task, p.refused))
+        analyte = F.col("analyte") == p.analyte if p.analyte else F.lit(True)
         if p.refused:
             continue
         if p.length is not None:
-            rows = out["composites"].where((F.col("length") == p.length) & (F.col("status") == p.status))
-            name = F.concat_ws("/", F.col("hole").cast("string"), F.lit(f"{p.length:g}"), "k")
+            of_composites.append((p, analyte & (F.col("length") == p.length) & (F.col("status") == p.status), F.concat_ws("/", F.col("hole").cast("string"), F.lit(f"{p.length:g}"), "k")))
         else:
-            rows, name = supports.where(p.where) if p.where else supports, F.col("id").cast("string")
-        rows = rows.where(F.col("analyte") == p.analyte) if p.analyte else rows
-        members = members.unionByName(rows.select(F.lit(p.id).alias("population"), F.lit(p.task).alias("task"), name.alias("member"), "hole").distinct())
+            of_supports.append((p, analyte & F.expr(p.where) if p.where else analyte, F.col("id").cast("string")))
+    if of_supports:
+        members = members.unionByName(_members(supports, of_supports).distinct())
+    if of_composites:
+        found = _members(out["composites"], of_composites)
+        members = members.unionByName(found if all(p.analyte for p, *_ in of_composites) else found.distinct())  # a composite of an analyte is a row
     out["populations"] = members
     counts = members.groupBy("population").agg(F.count("*").alias("members"), F.countDistinct("hole").alias("holes"))
-    declared = spark.createDataFrame(told, "population string, task string, reason string")
+    declared = spark.createDataFrame([(p.id, p.task, p.refused) for p in family.populations], "population string, task string, reason string")
     out["counts"] = declared.join(counts, "population", "left").select("population", "task", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("holes", F.lit(0)).alias("holes"), "reason")
-    out["repeats"] = ids.where("kind = 'interval'").groupBy("hole", "from_md", "to_md").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+    place = ["hole", "from_md", "to_md"]
+    shared = intervals.select(*place, "id", *(f("id").over(Window.partitionBy(*place)).alias(c) for c, f in (("least", F.min), ("most", F.max)))).where("least < most")
+    out["repeats"] = shared.groupBy(*place).agg(F.array_sort(F.collect_set("id")).alias("ids"))
     limit = collars.where("depth IS NOT NULL").select("hole", "depth")
-    out["beyond"] = ids.join(limit, "hole").where(F.greatest("from_md", "to_md") > F.col("depth")).select("id", "hole")
+    out["beyond"] = supports.join(limit, "hole").where(F.greatest("from_md", "to_md") > F.col("depth")).select("id", "hole").distinct()
     none = [F.lit(None).cast("long").alias(c) for c in ("full", "residual", "insufficient")]
-    steps = [supports.agg(F.lit("supports").alias("step"), F.countDistinct("id").alias("n")), out["repeats"].agg(F.lit("repeated intervals").alias("step"), F.count("*").alias("n")), out["beyond"].agg(F.lit("beyond depth").alias("step"), F.count("*").alias("n"))]
-    steps += [supports.where(c).agg(F.lit(name).alias("step"), F.countDistinct("id").alias("n")) for name, c in family.steps.items()]
+    named = {"supports": "true", **family.steps}
+    ids = supports.where("id IS NOT NULL").groupBy("id").agg(*(F.max(F.coalesce(F.expr(c), F.lit(False))).alias(f"_{i}") for i, c in enumerate(named.values())))
+    held = ids.agg(*(F.count_if(f"_{i}").alias(f"_{i}") for i in range(len(named))))
+    steps = [held.select(F.explode(F.array(*(F.struct(F.lit(name).alias("step"), F.col(f"_{i}").alias("n")) for i, name in enumerate(named)))).alias("s")).select("s.*")]
+    steps += [out["repeats"].agg(F.lit("repeated intervals").alias("step"), F.count("*").alias("n")), out["beyond"].agg(F.lit("beyond depth").alias("step"), F.count("*").alias("n"))]
     rows = [s.select("step", "n", *none) for s in steps]
     if family.lengths:
         named = F.format_string("%s m composites", F.regexp_replace(F.col("length").cast("string"), "[.]0$", ""))

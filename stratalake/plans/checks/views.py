@@ -13,10 +13,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contiguous sample intervals: an order is a hole, quantities are lengths."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("l_quantity").over(w)
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hole"), (end - F.col("l_quantity")).alias("from_md"), end.alias("to_md"), F.row_number().over(w).alias("sample"), F.col("l_returnflag").alias("analyte"), F.col("l_linestatus").alias("method"), F.col("l_extendedprice").alias("value"), F.col("l_suppkey").alias("site"))
+    """Contiguous sample intervals: an order is a hole, quantities are lengths.
+
+    The hole has its name before the window, so that later steps by hole know that rows are dealt out by it; other names come after, so that no column is sent twice.
+    """
+    w = Window.partitionBy("hole").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+    rows = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "hole").withColumns({"to_md": F.sum("l_quantity").over(w), "sample": F.row_number().over(w)})
+    return rows.select("hole", (F.col("to_md") - F.col("l_quantity")).alias("from_md"), "to_md", "sample", F.col("l_returnflag").alias("analyte"), F.col("l_linestatus").alias("method"), F.col("l_extendedprice").alias("value"), F.col("l_suppkey").alias("site"))
 
 
 SAMPLES = """samples AS (SELECT l_orderkey AS hole, sum(l_quantity) OVER w - l_quantity AS from_md, sum(l_quantity) OVER w AS to_md, row_number() OVER w AS sample,
